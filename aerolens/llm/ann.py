@@ -42,8 +42,9 @@ SAMPLE = 20_000
 PARTS, CODES = 16, 256
 MAX_LISTS = 4096
 #: Share of the lists that a query probes, and candidates reranked exactly per pair of blocks.
-PROBED = 0.35
-RERANK = 120
+PROBED = 0.65
+LEAST_PROBED = 16
+RERANK = 48
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 
 
@@ -127,7 +128,7 @@ def search(rows: DataFrame, is_query, top: int = TOP, probed: float = PROBED, re
         return rows.sparkSession.createDataFrame([], schema)
     index = fit(vectors, n)
     lists = len(index.centroids)
-    probes = min(lists, max(8, math.ceil(lists * probed)))
+    probes = min(lists, max(LEAST_PROBED, math.ceil(lists * probed)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,21 +168,27 @@ def search(rows: DataFrame, is_query, top: int = TOP, probed: float = PROBED, re
         ids, x = have["vec_id"].to_numpy(), np.stack(have["v"].to_numpy())
         codes = np.frombuffer(b"".join(have["codes"]), np.uint8).reshape(len(have), -1)
         found = []
-        for query, q in zip(want["query_id"], want["q"]):
-            tables = index.tables(np.asarray(q))
+        for a in range(0, len(want), 128):
+            asking, q = want["query_id"].to_numpy()[a : a + 128], np.stack(want["q"].to_numpy()[a : a + 128])
+            tables = np.stack([index.tables(v) for v in q])
             # the list's centroid adds the same to all of them
-            estimate = sum(tables[p].take(codes[:, p]) for p in range(codes.shape[1]))
-            estimate[ids == query] = -np.inf
-            best = np.arange(len(ids))
-            if len(ids) > rerank:
-                # all above the rerank-th estimate, then those equal to it by vec_id: ids are sorted
-                edge = np.partition(estimate, -rerank)[-rerank]
-                above, equal = np.flatnonzero(estimate > edge), np.flatnonzero(estimate == edge)
-                best = np.concatenate([above, equal[: max(0, rerank - len(above))]])
-            best = best[ids[best] != query]
-            exact = (x[best] * np.asarray(q)).sum(1)
-            order = np.lexsort((ids[best], -exact))[:top]
-            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][order], "score": exact[order]}))
+            estimate = tables[:, 0, codes[:, 0]]
+            for p in range(1, codes.shape[1]):
+                estimate += tables[:, p, codes[:, p]]
+            own = ids[None, :] == asking[:, None]
+            estimate[own] = -np.inf
+            n = min(rerank, len(ids))
+            # all above the n-th estimate, then those equal to it by vec_id: ids are sorted
+            edge = np.partition(estimate, len(ids) - n, axis=1)[:, len(ids) - n, None]
+            above, equal = estimate > edge, estimate == edge
+            keep = above | (equal & (np.cumsum(equal, 1) <= n - above.sum(1, keepdims=True)))
+            best = np.nonzero(keep)[1].reshape(len(q), n)
+            exact = (x[best] * q[:, None, :]).sum(2)
+            exact[np.take_along_axis(own, best, 1)] = -np.inf
+            order = np.lexsort((ids[best], -exact), axis=1)[:, :top]
+            exact = np.take_along_axis(exact, order, 1)
+            good = np.isfinite(exact)
+            found.append(pd.DataFrame({"query_id": np.broadcast_to(asking[:, None], good.shape)[good], "vec_id": ids[np.take_along_axis(best, order, 1)][good], "score": exact[good]}))
         return pd.concat(found)
 
     scored = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(score, "query_id long, vec_id long, score double")

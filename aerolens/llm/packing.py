@@ -16,9 +16,12 @@ itself; a null doc_id is carried through; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ END_ID = 1
 GROUP_DOCS = 16_384
 VOCABULARY = "byte_bpe_50k.json"
 #: Bounds on what an encoder remembers and on the characters handled at a time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 SLICE_CHARS = 2_000_000
 
 
@@ -59,15 +62,21 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are text
+        # two generations: what was seen lately outlives a change
         self.after_blank: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.after_blank
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.after_blank) > CACHE_WORDS:
+            self.older, self.after_blank = self.after_blank, {}
+        known, older = self.after_blank, self.older
         split: list[list[str] | None] = []
         alone: list[str] = []
         wanted: set[str] = set()
@@ -82,7 +91,13 @@ class WordEncoder:
             else:
                 alone.append(text)
                 split.append(None)
-        fresh = [w for w in wanted if w not in known]
+        fresh = []
+        for w in wanted:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    fresh.append(w)
         known.update(zip(fresh, self._encode([w if w[0] == "\n" else " " + w for w in fresh])))
         out = []
         for first, words in zip(self._encode(alone), split):
@@ -90,6 +105,12 @@ class WordEncoder:
         return out
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which serves many tasks."""
+    return WordEncoder(path)
+
+
 def slices(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
     """Runs of rows of about SLICE_CHARS characters."""
     a, chars = 0, 0
@@ -111,11 +132,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     schema = PIECES + (", ids array<long>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.asarray([end_id], "<u4").tobytes()
+        words, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for ids, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[tuple] = []
-                for doc, raw in zip(ids, encoder.encode(texts)):
+                for doc, raw in zip(ids, words.encode(texts)):
                     raw += end
                     n = len(raw) // 4
                     for start in range(0, n, capacity):
