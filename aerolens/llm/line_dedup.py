@@ -36,50 +36,63 @@ from .common import let
 
 BOUND = 1
 MIN_WORDS = 5
-_SALT = 9
+#: Bits of the filter that keeps texts without candidates out of a shuffle: at most 8 MB, broadcast.
+MAX_FILTER_BITS = 1 << 26
 
 
 def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, common.SPACES), "")
 
 
-def _hashes(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(_SALT), words).alias("h2")]
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), words: the lines long enough to be compared."""
     each = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return each.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
 
 
-def half_keys(words: Column) -> Column:
-    """Hashes of the halves by which a line of n words meets lines of n - 1, n and n + 1 words.
+def line_keys(words: Column) -> Column:
+    """struct(h1, h2, ends): a line's 128-bit identity, and the hashes by which it meets near lines.
 
-    For a pair of m and n words, m <= n <= m + 1, the half has m div 2 words.
+    For a pair of m and n words, m <= n <= m + 1, the shared half has m div 2 words: ends
+    has the halves for m = n and for m = n - 1. The identity is made of the halves too.
     """
 
     def of(w: Column) -> Column:
         n = F.size(w)
-        ends = []
-        # the shorter one's length: the line's own, or one less
-        for own in (0, 1):
-            half = F.floor((n - own) / 2).cast("int")
-            ends += [F.xxhash64(F.lit(1), n - own, F.slice(w, 1, half)), F.xxhash64(F.lit(2), n - own, F.slice(w, n - half + 1, half))]
-        return F.array(*ends)
+        half = F.floor(n / 2).cast("int")
+        ends = lambda k: F.array(F.xxhash64(F.lit(1), F.slice(w, 1, k)), F.xxhash64(F.lit(2), F.slice(w, n - k + 1, k)))
+
+        def joined(own: Column) -> Column:
+            less = F.when(n % 2 == 1, own).otherwise(ends(half - 1))
+            middle = F.when(n % 2 == 1, w[half]).otherwise(F.lit(""))
+            keys = lambda e, m: [F.xxhash64(e[0], m), F.xxhash64(e[1], m)]
+            return F.struct(F.xxhash64(own[0], middle, n).alias("h1"), F.xxhash64(own[1], n, middle).alias("h2"), let(less, lambda e: F.array(*keys(own, n), *keys(e, n - 1))).alias("ends"))
+
+        return let(ends(half), joined)
 
     return let(words, of)
 
 
 def variants(words: Column) -> Column:
-    """(key, at) of the line (at -1) and of the line without its word number at."""
+    """(key, at) of the line (at -1) and of the line without its word number at.
+
+    A line's hash is the exclusive or of its words' hashes with their places, so all its
+    variants come from running sums: of the words where they are, and moved one forward.
+    """
+
+    def running(hashes: Column) -> Column:
+        return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1).bitwiseXOR(x)))
 
     def of(w: Column) -> Column:
-        n = F.size(w)
-        # hashed as they are made: a line's variants are never held together
-        without = lambda i: F.concat(F.slice(w, 1, i), F.slice(w, i + 2, F.greatest(n - i - 1, F.lit(0))))
-        shorter = F.transform(w, lambda _, i: F.struct(F.xxhash64(without(i)).alias("key"), i.alias("at")))
-        return F.array_append(shorter, F.struct(F.xxhash64(w).alias("key"), F.lit(-1).alias("at")))
+        here = running(F.transform(w, lambda x, i: F.xxhash64(x, i)))
+        moved = running(F.transform(w, lambda x, i: F.xxhash64(x, i - 1)))
+
+        def keys(sums: Column) -> Column:
+            all_moved = F.element_at(sums["moved"], -1)
+            cut = F.transform(w, lambda _, i: F.struct(sums["here"][i].bitwiseXOR(all_moved).bitwiseXOR(sums["moved"][i + 1]).alias("key"), i.alias("at")))
+            return F.array_append(cut, F.struct(F.element_at(sums["here"], -1).alias("key"), F.lit(-1).alias("at")))
+
+        return let(F.struct(here.alias("here"), moved.alias("moved")), keys)
 
     return let(words, of)
 
@@ -91,52 +104,69 @@ def within_bound(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same <= 1).when(F.size(a) + 1 == F.size(b), shorter_in(a, b)).when(F.size(b) + 1 == F.size(a), shorter_in(b, a)).otherwise(False)
 
 
-def distinct_lines(all_lines: DataFrame) -> DataFrame:
-    """h1, h2, first (doc_id, line_no), ends: a row per distinct line, before any near one is looked for."""
-    keyed = all_lines.select(*_hashes(F.col("words")), F.struct("doc_id", "line_no").alias("first"), half_keys(F.col("words")).alias("ends"))
-    return keyed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("ends").alias("ends"))
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """at (doc_id, line_no), h1, h2, ends of every line that is compared."""
+    each = lines(docs).select(F.struct("doc_id", "line_no").alias("at"), line_keys(F.col("words")).alias("k"))
+    return each.select("at", "k.*")
+
+
+def possible_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows less many of those whose doc_id isn't in wanted, without a shuffle of rows.
+
+    A bit for each hashed doc_id, 16 a row of wanted up to MAX_FILTER_BITS in all: a table of
+    4 KB bitmaps with a bound, which is broadcast. Beyond, more rows pass; none is lost.
+    """
+    bits = min(MAX_FILTER_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    maps = wanted.select(F.call_function("bitmap_bucket_number", place).alias("__map"), F.call_function("bitmap_bit_position", place).alias("bit"))
+    maps = maps.groupBy("__map").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("__bits"))
+    bit = F.call_function("bitmap_bit_position", place)
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
+    return rows.withColumn("__map", F.call_function("bitmap_bucket_number", place)).join(F.broadcast(maps), "__map").where(found).drop("__map", "__bits")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line within the bound.
+    """first (doc_id, line_no) of the distinct lines that have an earlier line within the bound.
 
     Lines whose variants agree fall into groups by (variant, deleted place), which replace
     one word at one place, and by (variant, whole or not), which insert or delete one. In
     the first kind all members are mutual partners, so whoever is not the earliest has the
-    earliest as partner. In the second, a whole line's partners are all the lines that lose a word to
-    become it, and theirs is that one line; each needs the earlier of the two only. So
-    joining each group with one line, its earliest, finds all.
+    earliest as partner. In the second, a whole line's partners are all the lines that lose a
+    word to become it, and theirs is that one line; each needs the earlier of the two only.
+    So joining each group with one line, its earliest, finds all.
     """
-    ends = distinct.select("h1", "h2", "first", F.explode(F.array_distinct("ends")).alias("end"))
+    ends = distinct.select("h1", F.explode(F.array_distinct("ends")).alias("end"))
     met = ends.groupBy("end").agg(F.count("*").alias("m")).where("m > 1").select("end")
-    able = common.materialise(ends.join(met, "end", "left_semi").select("h1", "h2", "first").distinct(), "able")
+    able = common.materialise(distinct.select("h1", "first").join(ends.join(met, "end", "left_semi").select("h1").distinct(), "h1", "left_semi").select("first"), "able")
     # the words come from each line's first place: one line for each distinct line
-    at = able.select("h1", "h2", "first.doc_id", "first.line_no")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = lines(texts).join(at, ["doc_id", "line_no"]).select("h1", "h2", "doc_id", "line_no", "words", *[c.alias(n) for c, n in zip(_hashes(F.col("words")), ("g1", "g2"))])
-    able = common.materialise(found.where("h1 = g1 and h2 = g2").select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "words").dropDuplicates(["h1", "h2"]), "candidates")
-
-    emitted = able.select("h1", "h2", "first", F.explode(variants(F.col("words"))).alias("v")).select("h1", "h2", "first", "v.*")
-    # every line of a key knows the earliest whole line, the earliest that lost a word, and the earliest at its place
-    best = F.min(F.struct("first", "h1", "h2"))
-    places = common.materialise(emitted.groupBy("key", "at").agg(best.alias("low"), F.count("*").alias("m")), "places")
-    keys = places.groupBy("key").agg(F.count("*").alias("p"), F.max("m").alias("most"), F.min(F.when(F.col("at") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("cut"))
+    at = able.select("first.doc_id", "first.line_no")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = common.materialise(at.select("doc_id").distinct(), "ids")
+    texts = possible_rows(texts, ids)
+    found = lines(texts).join(at, ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("first"), "words")
+    # rows that repeat a doc_id may put several lines at one place: the least speaks for it
+    able = common.materialise(found.groupBy("first").agg(F.min("words").alias("words")), "candidates")
+
+    emitted = common.materialise(able.select("first", F.explode(variants(F.col("words"))).alias("v")).select("first", "v.*"), "variants")
+    places = common.materialise(emitted.groupBy("key", "at").agg(F.min("first").alias("low"), F.count("*").alias("m")), "places")
+    keys = places.groupBy("key").agg(F.max("m").alias("most"), F.min(F.when(F.col("at") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("cut"))
     some = keys.where((F.col("most") > 1) | F.col("whole").isNotNull() & F.col("cut").isNotNull())
-    groups = places.join(some.select("key", "whole", "cut"), "key").select("key", "at", F.array_distinct(F.array_compact(F.array(F.col("low"), F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole"))))).alias("partners"))
-    pairs = emitted.join(groups, ["key", "at"]).select("h1", "h2", "first", F.explode("partners").alias("p")).where("p.first < first").select("h1", "h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct()
-    own = able.select("h1", "h2", "words")
-    other = able.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("p_words"))
-    return pairs.join(own, ["h1", "h2"]).join(other, ["p1", "p2"]).where(within_bound(F.col("words"), F.col("p_words"))).select("h1", "h2").distinct()
+    partners = F.array(F.col("low"), F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")))
+    groups = places.join(some.select("key", "whole", "cut"), "key").select("key", "at", F.array_distinct(F.array_compact(partners)).alias("partners"))
+    pairs = emitted.join(groups, ["key", "at"]).select("first", F.explode("partners").alias("low")).where("low < first").distinct()
+    other = able.select(F.col("first").alias("low"), F.col("words").alias("low_words"))
+    return pairs.join(able, "first").join(other, "low").where(within_bound(F.col("words"), F.col("low_words"))).select("first").distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, dropped: the sorted numbers of the lines that go, for the documents that lose any."""
-    distinct = common.materialise(distinct_lines(lines(docs)), "distinct")
+    placed = common.materialise(placed_lines(docs), "placed")
+    distinct = common.materialise(placed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("ends").alias("ends")), "distinct")
     near = common.materialise(near_lines(docs, distinct), "near").withColumn("near", F.lit(True))
-    verdict = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    placed = lines(docs).select("doc_id", "line_no", *_hashes(F.col("words")))
-    gone = placed.join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    verdict = distinct.select("h1", "h2", "first", "n").join(near, "first", "left").where("near or n > 1")
+    gone = placed.select("at", "h1", "h2").join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first")))
+    return gone.select("at.*").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

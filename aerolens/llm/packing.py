@@ -111,16 +111,18 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
-    """Runs of rows of about SLICE_CHARS characters."""
+def slices(ids: list, texts: list, keep_null: bool = False) -> Iterator[tuple[list, list[str]]]:
+    """Runs of rows of about SLICE_CHARS characters; null texts are empty, or stay."""
+    if not keep_null:
+        texts = [t or "" for t in texts]
     a, chars = 0, 0
     for i, t in enumerate(texts):
         chars += len(t or "")
         if chars >= SLICE_CHARS:
-            yield ids[a : i + 1], [x or "" for x in texts[a : i + 1]]
+            yield ids[a : i + 1], texts[a : i + 1]
             a, chars = i + 1, 0
     if a < len(texts):
-        yield ids[a:], [x or "" for x in texts[a:]]
+        yield ids[a:], texts[a:]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
