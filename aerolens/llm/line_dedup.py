@@ -36,8 +36,6 @@ from .common import let
 
 BOUND = 1
 MIN_WORDS = 5
-#: Bits of the filter that keeps texts without candidates out of a shuffle: at most 8 MB, broadcast.
-MAX_FILTER_BITS = 1 << 26
 
 
 def words_of(line: Column) -> Column:
@@ -110,22 +108,6 @@ def placed_lines(docs: DataFrame) -> DataFrame:
     return each.select("at", "k.*")
 
 
-def possible_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows less many of those whose doc_id isn't in wanted, without a shuffle of rows.
-
-    A bit for each hashed doc_id, 16 a row of wanted up to MAX_FILTER_BITS in all: a table of
-    4 KB bitmaps with a bound, which is broadcast. Beyond, more rows pass; none is lost.
-    """
-    bits = min(MAX_FILTER_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
-    maps = wanted.select(F.call_function("bitmap_bucket_number", place).alias("__map"), F.call_function("bitmap_bit_position", place).alias("bit"))
-    maps = maps.groupBy("__map").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("__bits"))
-    bit = F.call_function("bitmap_bit_position", place)
-    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
-    return rows.withColumn("__map", F.call_function("bitmap_bucket_number", place)).join(F.broadcast(maps), "__map").where(found).drop("__map", "__bits")
-
-
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """first (doc_id, line_no) of the distinct lines that have an earlier line within the bound.
 
@@ -143,8 +125,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     at = able.select("first.doc_id", "first.line_no")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = common.materialise(at.select("doc_id").distinct(), "ids")
-    texts = possible_rows(texts, ids)
-    found = lines(texts).join(at, ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("first"), "words")
+    texts = common.possible_rows(texts, ids)
+    found = lines(texts).join(at.hint("merge"), ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("first"), "words")
     # rows that repeat a doc_id may put several lines at one place: the least speaks for it
     able = common.materialise(found.groupBy("first").agg(F.min("words").alias("words")), "candidates")
 
@@ -172,7 +154,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text cleaned, all their columns, and n_lines, n_dropped (long) after them."""
     gone = common.materialise(dropped_lines(docs), "dropped").withColumnsRenamed({"doc_id": "__doc_id", "dropped": "__dropped"})
-    joined = docs.join(gone, F.col("doc_id") == F.col("__doc_id"), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc_id"), "left")
     kept = let(F.col("__dropped"), lambda d: F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(d, i)))
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     counts = [F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("__n"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__gone")]
