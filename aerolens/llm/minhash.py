@@ -6,8 +6,8 @@
    functions) make a band: with 32 bands a pair at similarity 0.75 is missed with
    probability (1 - 0.75^4)^32, about 5e-6.
 2. Texts with equal sets become one class before anything is paired.
-3. In a band's bucket every class is compared with the bucket's smallest one only (a
-   star, linear in the bucket). Links are confirmed exactly: intersection and union of the
+3. In a band's bucket every class is compared with the bucket's hub only: the one that
+   shares its buckets with most others (a star, linear in the bucket). Links are confirmed exactly: intersection and union of the
    full sets. Their components label the classes.
 4. Where a bucket still holds more than one label, its pairs across labels are looked at
    too, in blocks of bounded size, so nothing is dropped: a 512-bit sketch of the
@@ -160,13 +160,16 @@ def _sizes_fit(na, nb):
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough; classes tells which text a doc_id stands for."""
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    needed = common.materialise(needed, "needed")
     chosen = needed.join(classes.select("doc_id", "f1", "f2"), "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # merge joins at every size: what is needed grows with the table, and so must not be broadcast
+    texts = common.possible_rows(texts, needed).join(needed.hint("merge"), "doc_id", "left_semi")
     sets = common.materialise(shingle_sets(texts).join(chosen, ["doc_id", "f1", "f2"], "left_semi").select("doc_id", "shingles"), "sets").dropDuplicates(["doc_id"])
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(right, "b").join(left, "a").where(both * OF >= (F.size("sa") + F.size("sb") - both) * SIMILAR).select("a", "b")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both * OF >= (F.size("sa") + F.size("sb") - both) * SIMILAR).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,15 +182,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = common.materialise(firsts, "classes")
     full = classes.join(with_id.select("doc_id", "f1", "f2", "bands", "sketch").dropDuplicates(["doc_id", "f1", "f2"]), ["doc_id", "f1", "f2"])
     members = full.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    stars = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m"), F.min_by("n", "doc_id").alias("hub_n")).where("m > 1")
-    shared = common.materialise(members.join(stars, "bucket"), "shared")
-
-    star_pairs = shared.where((F.col("doc_id") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    shared = common.materialise(members.join(sizes, "bucket"), "members")
+    # the hub is whoever shares its buckets with most others: the text that others were made from
+    known = shared.groupBy("doc_id").agg(F.sum("m").alias("known"))
+    shared = shared.join(known, "doc_id")
+    best = F.struct("known", -F.col("doc_id"))
+    stars = shared.groupBy("bucket").agg(F.max_by("doc_id", best).alias("hub"), F.max_by("n", best).alias("hub_n"))
+    shared = common.materialise(shared.join(stars, "bucket").drop("known"), "shared")
+
+    star_pairs = shared.where((F.col("doc_id") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n"))).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     first_links = common.materialise(confirm(common.materialise(star_pairs, "pairs"), docs, classes), "links")
     labels = common.materialise(components(first_links), "labels").select(F.col("node").alias("doc_id"), "root")
 
     labelled = shared.where("m > 2").join(labels, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    still_open = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "doc_id").alias("main")).where("low < high").select("bucket", "main")
+    still_open = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("root"))).alias("main")).where("low < high").select("bucket", "main")
     rest = labelled.join(still_open, "bucket").where(F.col("doc_id") != F.col("hub"))
     rest = common.materialise(rest.join(full.select("doc_id", "sketch"), "doc_id").select("bucket", "doc_id", "n", "root", "sketch", "m", (F.col("root") != F.col("main")).alias("odd")), "open")
     # Members labelled otherwise than the hub ("odd") meet all members. Both sides are cut
