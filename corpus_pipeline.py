@@ -18,7 +18,7 @@ from aerolens.llm import common, line_dedup, minhash, packing, pii, quality
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     gone = rejected.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
