@@ -96,7 +96,7 @@ def voxel_downsample(points: DataFrame, budget: int, rounds: int = 5) -> tuple[D
     applied = size
     for _ in range(rounds):
         applied = size
-        n = voxels(points, size, low, []).count() if False else voxels(points, size, low, [F.lit(1).alias("one")]).count()
+        n = voxels(points, size, low, [F.count("*").alias("n")]).count()
         if n == 0:
             size /= 2
             continue
