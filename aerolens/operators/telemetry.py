@@ -57,7 +57,7 @@ def subtitle_blocks(texts: DataFrame, strict: bool = False) -> DataFrame:
     content = F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), r"^\s+|\s+$", "")
     blocks = texts.select("flight_id", F.posexplode(F.split(content, r"\n\s*\n")).alias("block", "text"))
     rows = F.split(F.trim("text"), "\n")
-    timing = F.element_at(F.filter(rows, lambda x: x.contains(" --> ")), 1)
+    timing = F.get(F.filter(rows, lambda x: x.contains(" --> ")), 0)
     body = blocks.select("flight_id", "block", "text", F.size(rows).alias("n"), timing.alias("timing"), position(F.col("text")).alias("gps"), imu(F.col("text")).alias("imu"), F.regexp_extract("text", _FRAME, 1).try_cast("long").alias("count"))
     body = body.withColumn("timestamp_ms", subtitle_ms(F.substring_index("timing", " --> ", 1)))
     in_range = F.col("gps.latitude").between(-90, 90) & F.col("gps.longitude").between(-180, 180)
