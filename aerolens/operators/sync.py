@@ -123,3 +123,40 @@ def reservoir(views: DataFrame, size: int, seed: int = 0) -> DataFrame:
 def batches(views: DataFrame, stride: int) -> DataFrame:
     size = max(1, min((stride + 1) // 2, 10))
     return views.withColumn("batch", F.floor(F.col("view") / size))
+
+
+def registered_cameras(frames: DataFrame, poses: DataFrame, least: int = 4, missing: float = 0.5) -> DataFrame:
+    """(flight_id, k, x, y, z, posed) of each frame (flight_id, k, name); poses meet them by base name.
+
+    Frames without a pose lie between their neighbours, by place in the flight; before the
+    first and after the last they stay there. Flights of fewer than least poses, or of more
+    than that share missing, give nothing. Of poses of equal name the least counts.
+    """
+    base = F.element_at(F.split("name", "/"), -1)
+    own = poses.groupBy("flight_id", base.alias("base")).agg(F.min(F.struct("x", "y", "z")).alias("p"))
+    met = frames.select("flight_id", "k", base.alias("base")).join(own, ["flight_id", "base"], "left")
+    ordered = Window.partitionBy("flight_id").orderBy("k")
+    n = F.row_number().over(ordered)
+    at = F.when(F.col("p").isNotNull(), F.struct("n", "p"))
+    before = F.last(at, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(at, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    counted = met.withColumn("n", n).withColumns({"l": before, "r": after}).withColumns({"l": F.coalesce("l", "r"), "r": F.coalesce("r", "l")})
+    share = F.coalesce((F.col("n") - F.col("l.n")) / F.nullif(F.col("r.n") - F.col("l.n"), F.lit(0)), F.lit(0.0))
+    whole = Window.partitionBy("flight_id")
+    found = counted.withColumns({"share": share, "posed": F.col("p").isNotNull()}).withColumns({"some": F.count_if("posed").over(whole), "all": F.count("*").over(whole)})
+    good = found.where((F.col("some") >= least) & (F.col("all") - F.col("some") <= missing * F.col("all")))
+    return good.select("flight_id", "k", *[(F.col(f"l.p.{c}") + F.col("share") * (F.col(f"r.p.{c}") - F.col(f"l.p.{c}"))).alias(c) for c in "xyz"], "posed")
+
+
+def paired_cameras(registered: DataFrame, proxies: DataFrame, positions: DataFrame) -> DataFrame:
+    """(flight_id, k, x, y, z, u, v, w): cameras and positions (u, v, w) by place, as far as both go.
+
+    A flight's registered cameras count only if there is one for each proxy (a centre taken
+    from its point map); else the proxies do.
+    """
+    ordered = Window.partitionBy("flight_id").orderBy("k")
+    place = lambda df, *names: df.withColumn("i", F.row_number().over(ordered) - 1).select("flight_id", "i", *names)
+    n = lambda df, name: df.groupBy("flight_id").agg(F.count("*").alias(name))
+    enough = n(registered, "a").join(n(proxies, "b"), "flight_id", "left").where(F.col("a") >= F.coalesce("b", F.lit(0))).select("flight_id")
+    chosen = registered.join(enough, "flight_id", "left_semi").select("flight_id", "k", "x", "y", "z").unionByName(proxies.join(enough, "flight_id", "left_anti").select("flight_id", "k", "x", "y", "z"))
+    return place(chosen, "x", "y", "z").join(place(positions, "u", "v", "w"), ["flight_id", "i"]).withColumnRenamed("i", "k")

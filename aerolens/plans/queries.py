@@ -13,6 +13,7 @@ from pyspark.sql import Window
 
 from ..functions import geo
 from ..operators import align, cloud, sync, telemetry
+from ..sources import files
 
 _VT = """select user_id as flight_id, event_id as seq, cast({us} as double) / 1000e0 as timestamp_ms,
   28.6139e0 + (event_id * 7 % 40) * 1e-5 as latitude, 77.2090e0 + (event_id * 13 % 40) * 1e-5 as longitude,
@@ -302,3 +303,71 @@ def georeferenced_cameras(spark, d):
 @query()
 def hold_out_report(spark, d):
     return align.hold_out_report(control_points(spark, d))
+
+
+@query("select flight_id, seq as raw_i from vt where seq % 10 = 0")
+def frame_sampling(spark, d):
+    return sync.sampled_frames(vt(spark, d).select("flight_id", F.col("seq").alias("raw_i")), 10)
+
+
+@query(""", g as (select flight_id, k, px_row, px_col, max(x) * 5 as gray from vc group by 1, 2, 3, 4),
+c as (select *, lag(gray) over (partition by flight_id, px_row, px_col order by k) as p from g)
+select distinct flight_id, k, px_row, px_col from g where exists (from c where c.flight_id = g.flight_id and c.k = g.k and abs(c.gray - c.p) > 30 and c.px_row between g.px_row - 2 and g.px_row + 2 and c.px_col between g.px_col - 2 and g.px_col + 2)""")
+def motion_mask(spark, d):
+    return sync.motion(vc(spark, d).groupBy("flight_id", "k", "px_row", "px_col").agg((F.max("x") * 5).alias("gray")))
+
+
+@query(f""", v as ({_VIEWS} vt), w as (select flight_id, view // 10 as block, arg_max(view, row((conf - 1) / conf * (local - 1) / local, -view)) as view from v group by 1, 2),
+f as (select flight_id, min(view) as view from w group by 1 union all select f.flight_id, min(w.view) from f join w on w.flight_id = f.flight_id and w.view - f.view >= 8 group by 1)
+select flight_id, view from f""")
+def spaced_candidates(spark, d):
+    views = spark.sql(f"{_VIEWS} {{v}}", v=vt(spark, d)).withColumn("view", F.col("view").cast("long"))
+    return sync.spaced_candidates(sync.buffer_candidates(views, 10), 10)
+
+
+@query(f", v as ({_VIEWS} vt) select flight_id, view, view // 5 as batch from v")
+def view_batches(spark, d):
+    views = spark.sql(f"{_VIEWS} {{v}}", v=vt(spark, d)).withColumn("view", F.col("view").cast("long"))
+    return sync.batches(views.select("flight_id", "view"), 10)
+
+
+_BOXES = """select cast(1 as bigint) as flight_id, s_suppkey % 20 as k, s_nationkey as cls, (s_suppkey * 7 % 100) / 1e2 as conf,
+  cast(s_suppkey % 60 as int) as r0, cast(s_suppkey % 60 + 3 as int) as r1, cast(s_suppkey * 3 % 60 as int) as c0, cast(s_suppkey * 3 % 60 + 3 as int) as c1 from """
+
+
+@query(f""", boxes as ({_BOXES} supplier) select distinct flight_id, k, px_row, px_col from vc
+  where exists (from boxes o where o.k = vc.k and cls in (0, 1, 2, 3, 5, 7, 8, 14, 16) and o.conf >= 0.25 and px_row between r0 and r1 and px_col between c0 and c1)""")
+def detection_masks(spark, d):
+    boxes = spark.sql(f"{_BOXES} parquet.`{d}/supplier.parquet`")
+    return cloud.detection_masks(boxes, vc(spark, d).select(*cloud.PIXEL).distinct())
+
+
+@query("select i as frame_idx, round(28.6e0 + 1e-5 * i, 9) as latitude, round(77.2e0 + 2e-5 * i, 9) as longitude, round(50 + 5e-1 * sin(i / 10), 9) as altitude_m, true as synthetic from (select unnest(range(1000)) as i)")
+def synthetic_track(spark, d):
+    return rounded(telemetry.synthetic_track(spark, 1000, 28.6, 77.2), 9, "latitude", "longitude", "altitude_m")
+
+
+@query("select k, " + ", ".join(f"round(28.6e0 + {f}(y) / 111320e0, 9) as {f}_latitude, round(77.2e0 + {f}(x) / (111320e0 * cos(radians(28.6e0))), 9) as {f}_longitude" for f in ("min", "max")) + " from vc group by k")
+def cloud_degrees(spark, d):
+    box = cloud.bounds(vc(spark, d), ["k"])
+    corner = lambda t: [e.alias(f"{t}_{n}") for e, n in zip(geo.enu_inverse(F.col(f"{t}_x"), F.col(f"{t}_y"), F.lit(28.6), F.lit(77.2)), ("latitude", "longitude"))]
+    found = box.select("k", *corner("min"), *corner("max"))
+    return rounded(found, 9, *found.columns[1:])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"cast(round(({c} - l{c}) / greatest(greatest(h{c} - l{c}, 1e0) / 1e7, 0.001e0)) as bigint) as i{c}" for c in "xyz") + ", " + ", ".join(f"trunc(greatest(least({c}, 1e0), 0e0) * 65535)::int as c{c}" for c in "rgb") + " from vc, (select " + ", ".join(f"min({c}) as l{c}, max({c}) as h{c}" for c in "xyz") + " from vc)")
+def las_coordinates(spark, d):
+    points = vc(spark, d)
+    return files.scaled_coordinates(points, cloud.bounds(points, ["flight_id"]), ["flight_id"], tuple(PT[:4])).drop("flight_id")
+
+
+@query(""", o as (select *, row_number() over (partition by flight_id order by timestamp_ms, seq) as n from vt),
+p as (select *, case when seq % 3 <> 0 then n end as m, case when seq % 3 <> 0 then sharpness end as px from o),
+b as (select *, last_value(m ignore nulls) over a as ln, last_value(px ignore nulls) over a as lx, first_value(m ignore nulls) over z as rn, first_value(px ignore nulls) over z as rx, count(m) over (partition by flight_id) as posed_frames, count(*) over (partition by flight_id) as total
+  from p window a as (partition by flight_id order by n rows between unbounded preceding and current row), z as (partition by flight_id order by n rows between current row and unbounded following))
+select flight_id, n as k, m is not null as posed, round(case when ln is null then rx when rn is null or ln = rn then lx else lx + (n - ln) / (rn - ln) * (rx - lx) end, 6) as x from b where posed_frames >= 4 and total - posed_frames <= 0.5e0 * total""")
+def registered_cameras(spark, d):
+    order = Window.partitionBy("flight_id").orderBy("timestamp_ms", "seq")
+    frames = vt(spark, d).withColumn("k", F.row_number().over(order).cast("long")).withColumn("name", F.format_string("frames/frame_%05d.jpg", "k"))
+    poses = frames.where("seq % 3 <> 0").select("flight_id", F.format_string("frame_%05d.jpg", "k").alias("name"), F.col("sharpness").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return rounded(sync.registered_cameras(frames, poses).select("flight_id", "k", "posed", "x"), 6, "x")

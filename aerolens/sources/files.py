@@ -48,8 +48,8 @@ def transforms_json(cameras: DataFrame, view_angle: float = 1.047) -> DataFrame:
     return each.select("flight_id", F.to_json(F.struct(F.lit(view_angle).alias("camera_angle_x"), frames.alias("frames"))).alias("value"))
 
 
-def scaled_coordinates(points: DataFrame, box: DataFrame, by: list[str]) -> DataFrame:
-    """Whole-number coordinates and 16-bit colours of the binary point format."""
+def scaled_coordinates(points: DataFrame, box: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Whole-number coordinates and 16-bit colours of the binary point format, after the columns to keep."""
     joined = points.join(box, by)
     whole = [F.round((F.col(c) - F.col(f"min_{c}")) / F.col(f"scale_{c}")).cast("long").alias(f"i{c}") for c in "xyz"]
-    return joined.select(*by, *whole, *[geo.quantised(F.col(c), 65535).alias(f"c{c}") for c in "rgb"])
+    return joined.select(*by, *keep, *whole, *[geo.quantised(F.col(c), 65535).alias(f"c{c}") for c in "rgb"])
