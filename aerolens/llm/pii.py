@@ -41,8 +41,17 @@ _KEY = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4})(?!\d)"
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+# A phone ends at a complete number, so that what follows keeps its own kind: after 3-3-4 digits behind the country's,
+# else before a group where another kind begins, and at 15 digits.
+_OTHER = f"(?!{_MAIL}|{_IP}|{_DATE}|{_SSN})"
+_LOCAL = r"(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}"
+_DIGIT = r"[ .()-]{0,3}\d"
+_PHONE = (
+    r"(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|\+\d{{1,3}}[ .-]?{_OTHER}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?{_OTHER}\d{{2,4}}){{2}}(?:[ .-]?{_OTHER}(?!{_CARD}|(?:{_LOCAL})(?!\d))\d{{2,4}}){{0,2}}"
+    rf"(?<!\+{_DIGIT * 16}{f'(?:{_DIGIT})?' * 7})|{_LOCAL})(?!\d)"
+)
 ANY = "|".join((_MAIL, _KEY, _IP, _DATE, _SSN, _PHONE, _CARD))
 #: Texts without any of these hold nothing that ANY finds.
 HINT = r"[0-9@]|ghp_|sk-|xox"
