@@ -6,15 +6,16 @@ keyed SHA-256 of one half to the other, modulo the halves' sizes. So a card stay
 card with the same separators, a date a valid date, and equal values stay equal in all
 documents, while different ones stay different:
 
-* cards: 13 to 19 digits, plain or in groups; all but the check digit are permuted, and
+* cards: 13 to 19 digits, plain or in groups (4-4-4-4, 4-4-4-4-3 or 4-6-5); all but the check digit are permuted, and
   the check digit is computed anew;
 * phones: the last ten digits (all, where fewer), with sign, brackets and blanks kept;
 * social security numbers (ddd-dd-dddd): the nine digits;
 * IPv4 addresses: 16 and 16 bits;
 * dates of the years 1800 to 2199 (146,097 days = 189 x 773), in the form they have.
 
-Mail addresses and access keys have no numeric format; they get a keyed digest in
-their own form. Numbers that fail validation stay as they are.
+Mail addresses, access keys and secrets assigned to a token, secret, key or password
+(32 hexadecimal digits or more, or 24 mixed base64 characters) have no numeric format;
+they get a keyed digest in their own form. Numbers that fail validation stay as they are.
 
 Everything is done within a row: nothing is shuffled. The key is a parameter; DEFAULT_KEY
 is for tests and demonstrations only.
@@ -38,23 +39,27 @@ ROUNDS = 10
 # What the kinds look like. The order decides where two begin at one place.
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
 _KEY = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,72})(?![A-Za-z0-9])"
+_NAME = r"(?i:token|secret|key|password|passwd|pwd)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?"
+_VALUE = r"(?:[0-9A-Fa-f]{32,}+|(?=[A-Za-z0-9+/_-]*?[0-9])(?=[A-Za-z0-9+/_-]*?[a-z])(?=[A-Za-z0-9+/_-]*?[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2})(?![A-Za-z0-9+/_=-])"
+_SECRET = rf"{_NAME}(?!(?:AKIA|ASIA|ghp_|sk-|xox[abprs]-)){_VALUE}"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-_DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
+_DATE = r"(?:(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)|(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[./-]\d))"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+# without separators or with blanks: area and exchange begin with 2 to 9
+_LOCAL = r"(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}|(?<![\d.-])(?<!\d )[2-9]\d{2} [2-9]\d{2} \d{4}|(?<![\w.+/-])[2-9]\d{2}[2-9]\d{6}(?![\w/-])"
+_CARD = rf"(?<!\d)(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -](?!{_IP}|{_SSN}|(?:{_LOCAL})(?!\d))\d{{3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?!\d)"
 # A phone ends at a complete number, so that what follows keeps its own kind: after 3-3-4 digits behind the country's,
 # else before a group where another kind begins, and at 15 digits.
 _OTHER = f"(?!{_MAIL}|{_IP}|{_DATE}|{_SSN})"
-_LOCAL = r"(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}"
 _DIGIT = r"[ .()-]{0,3}\d"
 _PHONE = (
     r"(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
     rf"|\+\d{{1,3}}[ .-]?{_OTHER}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?{_OTHER}\d{{2,4}}){{2}}(?:[ .-]?{_OTHER}(?!{_CARD}|(?:{_LOCAL})(?!\d))\d{{2,4}}){{0,2}}"
     rf"(?<!\+{_DIGIT * 16}{f'(?:{_DIGIT})?' * 7})|{_LOCAL})(?!\d)"
 )
-ANY = "|".join((_MAIL, _KEY, _IP, _DATE, _SSN, _PHONE, _CARD))
+ANY = "|".join((_MAIL, _KEY, _SECRET, _IP, _DATE, _SSN, _PHONE, _CARD))
 #: Texts without any of these hold nothing that ANY finds.
-HINT = r"[0-9@]|ghp_|sk-|xox"
+HINT = r"[0-9@]|ghp_|sk-|xox|AKIA|ASIA|[A-Fa-f]{32}"
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -142,21 +147,26 @@ def ip(value: Column, key: str) -> Column:
 
 def date(value: Column, key: str) -> Column:
     """Dates of the calendar, year first or last; day before month where both readings are dates."""
-    first = lambda a, n: F.substring(value, a, n)
-    year_first = F.substring(value, 5, 1).isin("-", "/")
-    as_date = lambda y, m, d: F.concat_ws("-", y, m, d).try_cast("date")
-    found = F.array(
-        F.when(year_first, as_date(first(1, 4), first(6, 2), first(9, 2))),
-        F.when(~year_first, as_date(first(7, 4), first(4, 2), first(1, 2))),
-        F.when(~year_first, as_date(first(7, 4), first(1, 2), first(4, 2))),
-    )
+    parts = F.split(value, "[-/.]")
+    mark = F.regexp_extract(value, "[-/.]", 0)
+    year_first = F.length(parts[0]) == 4
+    # written without zeros where a month or day has one digit
+    padded = F.length(value) == 10
+    as_date = lambda y, m, d: F.concat_ws("-", parts[y], F.lpad(parts[m], 2, "0"), F.lpad(parts[d], 2, "0")).try_cast("date")
+    found = F.array(F.when(year_first, as_date(0, 1, 2)), F.when(~year_first, as_date(2, 1, 0)), F.when(~year_first, as_date(2, 0, 1)))
 
     def of(f: Column) -> Column:
         which = F.when(f[0].isNotNull(), 0).when(f[1].isNotNull(), 1).when(f[2].isNotNull(), 2)
         day = F.datediff(F.coalesce(f[0], f[1], f[2]), F.lit("1800-01-01").cast("date"))
         moved = let(feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), key, F.lit("date")), lambda h: F.date_add(F.lit("1800-01-01").cast("date"), (h["l"] * 773 + h["r"]).cast("int")))
-        text = let(moved.cast("string"), lambda t: F.when(which == 0, digits_of(t)).when(which == 1, F.concat(F.substring(t, 9, 2), F.substring(t, 6, 2), F.substring(t, 1, 4))).otherwise(F.concat(F.substring(t, 6, 2), F.substring(t, 9, 2), F.substring(t, 1, 4))))
-        return F.when(day.between(0, 146096), with_digits(value, text)).otherwise(value)
+
+        def text(t: Column) -> Column:
+            short = lambda p: F.when(padded, p).otherwise(F.regexp_replace(p, "^0", ""))
+            y, m, d = F.substring(t, 1, 4), short(F.substring(t, 6, 2)), short(F.substring(t, 9, 2))
+            joined = lambda *p: F.concat(p[0], mark, p[1], mark, p[2])
+            return F.when(which == 0, joined(y, m, d)).when(which == 1, joined(d, m, y)).otherwise(joined(m, d, y))
+
+        return F.when(day.between(0, 146096), let(moved.cast("string"), text)).otherwise(value)
 
     return let(found, of)
 
@@ -171,12 +181,25 @@ def pseudonym(value: Column, key: str) -> Column:
     mail = F.concat(_letters(_keyed(key, F.lit("mail"), F.lower(value)), 16), F.lit("@mail.invalid"))
     head = F.regexp_extract(value, r"^(AKIA|ASIA|ghp_|sk-|xox.-)", 1)
     secret = F.concat(head, F.rpad(_letters(_keyed(key, F.lit("key"), value), 64, upper=True), F.greatest(F.length(value) - F.length(head), F.lit(1)), "A"))
+    named = F.regexp_extract(value, f"^{_NAME}", 0)
+
+    def digest(v: Column) -> Column:
+        """As long as v: of v's hexadecimal digits, or letters."""
+        full = _keyed(key, F.lit("secret"), v)
+        of_hex = F.when(v.rlike("[A-F]"), F.upper(full)).otherwise(full)
+        return F.rpad(F.when(v.rlike("^[0-9A-Fa-f]+$"), of_hex).otherwise(_letters(full, 64)), F.length(v), F.when(v.rlike("^[0-9A-Fa-f]+$"), of_hex).otherwise(_letters(full, 64)))
+
+    # the first 16 digits are a card where the 19 are none: the last group is something else
+    first = F.substring(value, 1, 19)
+    grouped = whole(r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}") & ~is_card(value) & is_card(first)
     return (
         F.when(F.instr(value, "@") > 0, mail)
         .when(head != "", secret)
+        .when(named != "", F.concat(named, let(F.substring(value, F.length(named) + 1, F.length(value)), digest)))
         .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), ip(value, key))
-        .when(whole(r"\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[/.]\d{2}[/.]\d{4}"), date(value, key))
+        .when(whole(r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[/.]\d{1,2}[/.]\d{4}"), date(value, key))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), with_digits(value, permute_digits(digits_of(value), key, "ssn")))
+        .when(grouped, F.concat(card(first, key), F.substring(value, 20, 4)))
         .when(whole(_CARD), F.when(is_card(value), card(value, key)).otherwise(value))
         .otherwise(phone(value, key))
     )
