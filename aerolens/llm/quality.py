@@ -8,6 +8,12 @@ fewer than MIN_DOCS documents the language's is used, then that of all documents
 A threshold lies SPREADS inter-quartile ranges above the median. The second pass joins
 the documents with their group's thresholds and filters.
 
+That is what op1_quality and its SQL define. Once a quarter of a group is junk, its upper
+quartile is junk's too and the threshold runs off. So the pipeline takes bounded thresholds:
+the spread is at most twice the median less the lower quartile, which holds up to half a
+group of junk; and a group's threshold lies no further above its own lower quartile than
+its language's does, which holds up to three quarters, while the language has under a half.
+
 Groups may be hot: sketches are pre-aggregated before the shuffle, and the join goes by
 common.lookup_join.
 
@@ -99,26 +105,30 @@ def quantiles(sketch: DataFrame, by: list[str], points: tuple[int, ...] = (25, 5
     return ran.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("below") * 100 >= F.col("n") * q, F.col("bucket"))).alias(f"q{q}") for q in points])
 
 
-def thresholds(measures: DataFrame) -> DataFrame:
+def thresholds(measures: DataFrame, bounded: bool = False) -> DataFrame:
     """lang, source and max_<measure>: one row per group."""
     sketch = common.materialise(sketches(measures, ["lang", "source"]), "sketches")
     q = quantiles(sketch, ["level", "lang", "source", "measure"])
     slack = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])
-    q = q.withColumn("most", F.col("q50") + F.greatest(F.lit(SPREADS) * (F.col("q75") - F.col("q25")), slack[F.col("measure")]))
-    wide = common.materialise(q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"max_{m}") for m in MEASURES]), "thresholds")
+    spread = F.col("q75") - F.col("q25")
+    spread = F.least(spread, 2 * (F.col("q50") - F.col("q25"))) if bounded else spread
+    q = q.withColumn("most", F.col("q50") + F.greatest(F.lit(SPREADS) * spread, slack[F.col("measure")]))
+    wide = common.materialise(q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col(of))).alias(f"{name}_{m}") for of, name in (("most", "max"), ("q25", "low")) for m in MEASURES]), "thresholds")
     names = [f"max_{m}" for m in MEASURES]
-    pick = lambda level: wide.where(F.col("level") == level).select("lang", "source", F.struct("n", *names).alias(f"t{level}"))
+    lows = [f"low_{m}" for m in MEASURES]
+    pick = lambda level: wide.where(F.col("level") == level).select("lang", "source", F.struct("n", *names, *lows).alias(f"t{level}"))
     joined = pick(0).join(pick(1).drop("source"), "lang").join(F.broadcast(pick(2).drop("lang", "source")), F.lit(True))
-    best = F.when(F.col("t0.n") >= MIN_DOCS, F.col("t0")).when(F.col("t1.n") >= MIN_DOCS, F.col("t1")).otherwise(F.col("t2"))
+    own = F.struct(F.col("t0.n").alias("n"), *[F.least(f"t0.max_{m}", F.col(f"t0.low_{m}") + F.col(f"t1.max_{m}") - F.col(f"t1.low_{m}")).alias(f"max_{m}") for m in MEASURES], *[F.col(f"t0.{x}").alias(x) for x in lows])
+    best = F.when(F.col("t0.n") >= MIN_DOCS, own if bounded else F.col("t0")).when(F.col("t1.n") >= MIN_DOCS, F.col("t1")).otherwise(F.col("t2"))
     return joined.select("lang", "source", best.alias("t")).select("lang", "source", *[F.col(f"t.{n}").alias(n) for n in names])
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """The contract's counts, base_failed, kept, then the measures and their thresholds."""
+def quality(docs: DataFrame, bounded: bool = False) -> DataFrame:
+    """The contract's counts, base_failed, kept, then the measures and their thresholds; bounded ones for the pipeline."""
     m = measured(docs)
     m = common.materialise(m.select("*", *[c.cast("long").alias(n) for n, c in _measures().items()]), "measures")
     with_words = m.where("n_words > 0")
-    limits = common.materialise(thresholds(with_words), "limits")
+    limits = common.materialise(thresholds(with_words, bounded), "limits")
     joined = common.lookup_join(m, limits, ["lang", "source"], F.col("doc_id"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fits = F.lit(True)
