@@ -3,7 +3,12 @@
 A line is a \\n-separated part of a text; its words are compared, so white space does not
 count. Edit distance is over words: inserting, deleting or replacing one is one edit. A
 line of MIN_WORDS words or more goes if an earlier line anywhere in the table (by doc_id,
-then place in the text) is within BOUND = 1 edit. Shorter lines stay: they say too little.
+then place in the text) is within BOUND = 1 edit. Shorter lines stay.
+
+That is what op9_line_dedup and its SQL define. With whole=True, as in the pipeline, lines of
+any length that have a word go if they are exact copies; a letter of a script written without
+blanks counts as a word; and lines of NEAR_WORDS words are near another too if they
+have NEAR_CHARS characters.
 
 Exact copies meet by a 128-bit hash of their words. For the distinct lines:
 
@@ -36,16 +41,21 @@ from .common import let
 
 BOUND = 1
 MIN_WORDS = 5
+NEAR_WORDS = 3
+NEAR_CHARS = 20
+#: Letters of scripts that don't part words by blanks, with the marks on them.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]\p{M}*)"
 
 
-def words_of(line: Column) -> Column:
+def words_of(line: Column, whole: bool = False) -> Column:
+    line = F.when(line.rlike(UNSPACED), F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line) if whole else line
     return F.array_remove(F.split(line, common.SPACES), "")
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, line_no (from 0), words: the lines long enough to be compared."""
     each = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    return each.select("doc_id", "line_no", words_of(F.col("line"), whole).alias("words")).where(F.size("words") >= (1 if whole else MIN_WORDS))
 
 
 def line_keys(words: Column) -> Column:
@@ -102,13 +112,14 @@ def within_bound(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same <= 1).when(F.size(a) + 1 == F.size(b), shorter_in(a, b)).when(F.size(b) + 1 == F.size(a), shorter_in(b, a)).otherwise(False)
 
 
-def placed_lines(docs: DataFrame) -> DataFrame:
-    """at (doc_id, line_no), h1, h2, ends of every line that is compared."""
-    each = lines(docs).select(F.struct("doc_id", "line_no").alias("at"), line_keys(F.col("words")).alias("k"))
-    return each.select("at", "k.*")
+def placed_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """at (doc_id, line_no), h1, h2, ends of every line that is compared; ends is empty where only copies count."""
+    each = lines(docs, whole).select(F.struct("doc_id", "line_no").alias("at"), line_keys(F.col("words")).alias("k"), F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("chars"))
+    near = (F.col("n") >= MIN_WORDS) | (F.col("n") >= NEAR_WORDS) & (F.col("chars") >= NEAR_CHARS)
+    return each.select("at", "k.h1", "k.h2", F.when(near, F.col("k.ends")).otherwise(F.array().cast("array<bigint>")).alias("ends") if whole else "k.ends")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, whole: bool = False) -> DataFrame:
     """first (doc_id, line_no) of the distinct lines that have an earlier line within the bound.
 
     Lines whose variants agree fall into groups by (variant, deleted place), which replace
@@ -126,7 +137,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = common.materialise(at.select("doc_id").distinct(), "ids")
     texts = common.possible_rows(texts, ids)
-    found = lines(texts).join(at.hint("merge"), ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("first"), "words")
+    found = lines(texts, whole).join(at.hint("merge"), ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("first"), "words")
     # rows that repeat a doc_id may put several lines at one place: the least speaks for it
     able = common.materialise(found.groupBy("first").agg(F.min("words").alias("words")), "candidates")
 
@@ -141,19 +152,19 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(able, "first").join(other, "low").where(within_bound(F.col("words"), F.col("low_words"))).select("first").distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, dropped: the sorted numbers of the lines that go, for the documents that lose any."""
-    placed = common.materialise(placed_lines(docs), "placed")
+    placed = common.materialise(placed_lines(docs, whole), "placed")
     distinct = common.materialise(placed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("ends").alias("ends")), "distinct")
-    near = common.materialise(near_lines(docs, distinct), "near").withColumn("near", F.lit(True))
+    near = common.materialise(near_lines(docs, distinct, whole), "near").withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", "first", "n").join(near, "first", "left").where("near or n > 1")
     gone = placed.select("at", "h1", "h2").join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first")))
     return gone.select("at.*").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs with the text cleaned, all their columns, and n_lines, n_dropped (long) after them."""
-    gone = common.materialise(dropped_lines(docs), "dropped").withColumnsRenamed({"doc_id": "__doc_id", "dropped": "__dropped"})
+    gone = common.materialise(dropped_lines(docs, whole), "dropped").withColumnsRenamed({"doc_id": "__doc_id", "dropped": "__dropped"})
     joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc_id"), "left")
     kept = let(F.col("__dropped"), lambda d: F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(d, i)))
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup(docs)
+    cleaned = line_dedup.dedup(docs, whole=True)
     n_chars = F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[n_chars.alias(c) if c == "n_chars" else c for c in docs.columns])
 
