@@ -9,11 +9,15 @@
 3. In a band's bucket every class is compared with the bucket's hub only: the one that
    shares its buckets with most others (a star, linear in the bucket). Links are confirmed exactly: intersection and union of the
    full sets. Their components label the classes.
-4. Where a bucket still holds more than one label, its pairs across labels are looked at
-   too, in blocks of bounded size, so nothing is dropped: a 512-bit sketch of the
-   signature (allowing six standard deviations) and the sets' sizes sort out those that
-   can't be similar, the others are confirmed exactly. Pairs within a label need no look,
-   as they can't change a component.
+4. Where a bucket still holds more than one label, its classes are open; an odd one is labelled
+   otherwise than a hub of its. Only a pair of an odd class and another label can change a
+   component. A pair at similarity 0.75 shares one of the rarest shingles of either set: of n,
+   n + 1 less the overlap that the other's size asks for (prefix filter, exact for any order).
+   Rarest is by the open classes' own counts, so a group that shares one source text
+   meets by what its members have besides it, which is little: an odd class differs
+   from the source in more shingles than that prefix holds. The size class of the partner is part
+   of the key, so that the prefix is as short as the partner allows, and the shared shingle's
+   place in both (positional filter) leaves few pairs. They are confirmed exactly.
 5. Components of all links give the result.
 
 Copies are never paired with each other; pairs, links and components stay in tables.
@@ -26,6 +30,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +46,8 @@ SIMILAR, OF = 75, 100
 PERMUTATIONS = 64
 BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
-#: Members of an open bucket that one task compares with one another at most, about.
-BLOCK = 256
-#: Differing bits of 512 that a pair at similarity 0.75 exceeds by six deviations.
-SKETCH_BITS = 132
+#: Size classes of sets grow by this factor.
+SIZE_STEP = 1 + 1 / 32
 CACHE_WORDS = 500_000
 
 _U = np.uint64
@@ -100,13 +103,7 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return _mix((signature.reshape(BANDS, BAND_VALUES) * _BAND_PLACES).sum(1) + _BAND_SALT).view(np.int64)
 
 
-def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """Four mixed bits of each signature value, as eight longs."""
-    nibbles = (_mix(signature) >> _U(60)).astype(np.uint8)
-    return (nibbles[0::2] << 4 | nibbles[1::2]).view(np.int64)
-
-
-SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -114,17 +111,16 @@ def signatures(docs: DataFrame) -> DataFrame:
         import xxhash
 
         hashes, names = _WordHashes(), [x.split()[0] for x in SIGNATURES.split(", ")]
-        types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = shingle_set(text.as_py(), hashes)
                 if len(values):
-                    signature = min_max(values)
                     f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), np.int64).tolist()
-                    rows.append((doc, len(values), f1, f2, bands_of(signature), sketch_of(signature)))
+                    rows.append((doc, len(values), f1, f2, bands_of(min_max(values))))
                 else:
-                    rows.append((doc, 0, 0, 0, None, None))
+                    rows.append((doc, 0, 0, 0, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURES)
@@ -157,21 +153,60 @@ def _sizes_fit(na, nb):
     return F.least(na, nb) * OF >= F.greatest(na, nb) * SIMILAR
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough; classes tells which text a doc_id stands for."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def sets_of(needed: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, shingles of the classes named in needed (doc_id, distinct), written."""
     needed = common.materialise(needed, "needed")
     chosen = needed.join(classes.select("doc_id", "f1", "f2"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # merge joins at every size: what is needed grows with the table, and so must not be broadcast
     texts = common.possible_rows(texts, needed).join(needed.hint("merge"), "doc_id", "left_semi")
-    sets = common.materialise(shingle_sets(texts).join(chosen, ["doc_id", "f1", "f2"], "left_semi").select("doc_id", "shingles"), "sets").dropDuplicates(["doc_id"])
+    # rows that repeat a doc_id: the set that its class was made from
+    return common.materialise(shingle_sets(texts).join(chosen, ["doc_id", "f1", "f2"], "left_semi").select("doc_id", "shingles"), "sets").dropDuplicates(["doc_id"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both * OF >= (F.size("sa") + F.size("sb") - both) * SIMILAR).select("a", "b")
 
 
+def _overlap(na, nb):
+    """The least intersection of sets of these sizes at the similarity: SIMILAR / (OF + SIMILAR) of their sum."""
+    return F.ceil((na + nb) * SIMILAR / (OF + SIMILAR) - 1e-9).cast("long")
+
+
+def size_class(n):
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP) + 1e-9).cast("int")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open classes that may be similar, one of them odd, with different labels.
+
+    members: doc_id, root, odd. Shingles of one class only meet nobody and just take places.
+    """
+    tokens = members.join(sets, "doc_id").select("doc_id", F.size("shingles").cast("long").alias("n"), "root", "odd", F.explode("shingles").alias("token"))
+    tokens = common.materialise(tokens, "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = tokens.join(counts.hint("merge"), "token").groupBy("doc_id", "n", "root", "odd").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("ranked"))
+    # places of the shared shingles follow those of the n - size(ranked) that nobody shares
+    ranked = common.materialise(ranked.withColumn("own", F.col("n") - F.size("ranked")), "ranked")
+    prefix = lambda longest: F.posexplode(F.slice("ranked", 1, F.greatest(longest - F.col("own"), F.lit(0)).cast("int"))).alias("at", "x")
+    smallest = F.ceil(F.col("n") * SIMILAR / OF - 1e-9).cast("long")
+    largest = F.floor(F.col("n") * OF / SIMILAR + 1e-9).cast("long")
+    sizes = ranked.where("odd").withColumn("class", F.explode(F.sequence(size_class(smallest), size_class(largest))))
+    least = F.greatest(smallest, F.floor(F.pow(F.lit(SIZE_STEP), F.col("class")) - 1e-6).cast("long"))
+    left = sizes.select("doc_id", "n", "root", "class", "own", prefix(F.col("n") - _overlap(F.col("n"), least) + 1))
+    right = ranked.select("doc_id", "n", "root", "odd", size_class(F.col("n")).alias("class"), "own", prefix(F.col("n") - smallest + 1))
+    side = lambda df, x, *more: df.select(F.col("x.token").alias("token"), "class", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "root", *more)], (F.col("n") - F.col("own") - F.col("at")).alias(f"left_{x}"))
+    met = side(left, "a").join(side(right, "b", "odd").hint("merge"), ["token", "class"])
+    once = ~F.col("odd_b") | (F.col("doc_id_a") < F.col("doc_id_b"))
+    able = F.least("left_a", "left_b") >= _overlap(F.col("n_a"), F.col("n_b"))
+    met = met.where((F.col("root_a") != F.col("root_b")) & once & _sizes_fit(F.col("n_a"), F.col("n_b")) & able)
+    return met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     signed = common.materialise(signatures(docs), "signatures")
@@ -180,7 +215,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = with_id.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "f1", "f2")).alias("x")).select("doc_id", "x.*")
     firsts = one.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     classes = common.materialise(firsts, "classes")
-    full = classes.join(with_id.select("doc_id", "f1", "f2", "bands", "sketch").dropDuplicates(["doc_id", "f1", "f2"]), ["doc_id", "f1", "f2"])
+    full = classes.join(with_id.select("doc_id", "f1", "f2", "bands").dropDuplicates(["doc_id", "f1", "f2"]), ["doc_id", "f1", "f2"])
     members = full.select("doc_id", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     shared = common.materialise(members.join(sizes, "bucket"), "members")
@@ -191,31 +226,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = shared.groupBy("bucket").agg(F.max_by("doc_id", best).alias("hub"), F.max_by("n", best).alias("hub_n"))
     shared = common.materialise(shared.join(stars, "bucket").drop("known"), "shared")
 
+    sets = sets_of(shared.select("doc_id").distinct(), docs, classes)
     star_pairs = shared.where((F.col("doc_id") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n"))).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    first_links = common.materialise(confirm(common.materialise(star_pairs, "pairs"), docs, classes), "links")
+    first_links = common.materialise(confirm(common.materialise(star_pairs, "pairs"), sets), "links")
     labels = common.materialise(components(first_links), "labels").select(F.col("node").alias("doc_id"), "root")
 
-    labelled = shared.where("m > 2").join(labels, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    still_open = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("root"))).alias("main")).where("low < high").select("bucket", "main")
-    rest = labelled.join(still_open, "bucket").where(F.col("doc_id") != F.col("hub"))
-    rest = common.materialise(rest.join(full.select("doc_id", "sketch"), "doc_id").select("bucket", "doc_id", "n", "root", "sketch", "m", (F.col("root") != F.col("main")).alias("odd")), "open")
-    # Members labelled otherwise than the hub ("odd") meet all members. Both sides are cut
-    # into blocks; a pair of blocks (i, j) of a bucket is one key of the join.
-    odd_blocks = rest.where("odd").groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("odd_blocks"))
-    rest = rest.join(odd_blocks, "bucket").withColumn("all_blocks", F.ceil(F.col("m") / (8 * BLOCK)).cast("int"))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "root", "sketch", "odd")]
-    left = rest.where("odd").select("bucket", own("odd_blocks").alias("i"), each("all_blocks").alias("j"), *side("a"))
-    right = rest.select("bucket", each("odd_blocks").alias("i"), own("all_blocks").alias("j"), *side("b"))
-    bits = sum((F.bit_count(F.col("sketch_a")[x].bitwiseXOR(F.col("sketch_b")[x])) for x in range(8)), F.lit(0))
-    once = ~F.col("odd_b") | (F.col("doc_id_a") < F.col("doc_id_b"))
-    met = left.join(right, ["bucket", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & once & _sizes_fit(F.col("n_a"), F.col("n_b")) & (bits <= SKETCH_BITS))
-    across = common.materialise(met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "pairs")
+    labelled = common.materialise(shared.where("m > 2").select("bucket", "doc_id", "hub").join(labels, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "labelled")
+    main = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("root"))).alias("main")).where("low < high").select("bucket", "main")
+    opened = labelled.join(main, "bucket").groupBy("doc_id").agg(F.max("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("odd"))
+    across = common.materialise(prefix_pairs(common.materialise(opened, "open"), sets), "across")
     if across.isEmpty():
         roots = labels
     else:
-        links = first_links.unionByName(confirm(across, docs, classes))
+        links = first_links.unionByName(confirm(across, sets))
         roots = common.materialise(components(links), "labels").select(F.col("node").alias("doc_id"), "root")
 
     by_class = classes.join(roots, "doc_id", "left").select("f1", "f2", F.coalesce("root", "doc_id").alias("root"))
