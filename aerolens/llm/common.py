@@ -66,14 +66,14 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column,
     return big.join(small, [*keys, "__salt"], how).drop("__salt")
 
 
-def possible_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows less many of those whose doc_id isn't in wanted, without a shuffle of rows.
+def possible_rows(rows: DataFrame, wanted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """rows less many of those whose keys (doc_id) aren't in wanted, without a shuffle of rows.
 
-    A bit for each hashed doc_id, 16 a row of wanted up to MAX_FILTER_BITS in all: a table of
+    A bit for each hashed key, 16 a row of wanted up to MAX_FILTER_BITS in all: a table of
     4 KB bitmaps with a bound, which is broadcast. Beyond, more rows pass; none is lost.
     """
     bits = min(MAX_FILTER_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    place = F.pmod(F.xxhash64(*[F.col(k).cast("long") for k in keys or ["doc_id"]]), F.lit(bits))
     maps = wanted.select(F.call_function("bitmap_bucket_number", place).alias("__map"), F.call_function("bitmap_bit_position", place).alias("bit"))
     maps = maps.groupBy("__map").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("__bits"))
     bit = F.call_function("bitmap_bit_position", place)

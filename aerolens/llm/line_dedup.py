@@ -1,14 +1,11 @@
 """Operator 9: near-duplicate lines by a deletion-neighbourhood join. DataFrame functions only.
 
 A line is a \\n-separated part of a text; its words are compared, so white space does not
-count. Edit distance is over words: inserting, deleting or replacing one is one edit. A
-line of MIN_WORDS words or more goes if an earlier line anywhere in the table (by doc_id,
-then place in the text) is within BOUND = 1 edit. Shorter lines stay.
-
-That is what op9_line_dedup and its SQL define. With whole=True, as in the pipeline, lines of
-any length that have a word go if they are exact copies; a letter of a script written without
-blanks counts as a word; and lines of NEAR_WORDS words are near another too if they
-have NEAR_CHARS characters.
+count. A letter of a script written without blanks counts as a word. A line with a word goes
+if an earlier line anywhere in the table (by doc_id, then place in the text) is its exact copy.
+Edit distance is over words: inserting, deleting or replacing one is one edit. A line of
+NEAR_WORDS words or more that has MIN_WORDS words or NEAR_CHARS characters (without blanks)
+also goes if an earlier such line is within one edit.
 
 Exact copies meet by a 128-bit hash of their words. For the distinct lines:
 
@@ -20,9 +17,10 @@ Exact copies meet by a 128-bit hash of their words. For the distinct lines:
   each variant's earliest lines answer for it: the earliest line of each (variant, deleted
   place) group is compared with the group's others, which finds every line that has an
   earlier partner (see near_lines).
-* The edit distance of each pair met is verified on the words themselves.
+* The edit distance of each pair met is verified: the words that both keep must be equal.
 
-Nothing is kept per document but the numbers of the lines to drop. Groups of copies of
+Lines are handled as strings of words with one blank between, by functions that Spark
+compiles. Nothing is kept per document but the numbers of the lines to drop. Groups of copies of
 any size are only pre-aggregated minima and joins that Spark can split.
 
 Defined cases: null text stays null; a text whose lines all go becomes ''; lines without
@@ -39,58 +37,82 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-BOUND = 1
 MIN_WORDS = 5
 NEAR_WORDS = 3
 NEAR_CHARS = 20
-#: Letters of scripts that don't part words by blanks, with the marks on them.
+#: Letters of scripts that don't part words by blanks, with the marks on them; all lie in WIDE.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]\p{M}*)"
+WIDE = r"[\x{0E00}-\x{10FFFF}]"
+#: Words of lines whose variants are made from running sums, so that they are linear in the line.
+LONG = 512
+#: Words summed at a time there.
+BLOCK = 256
 
 
-def words_of(line: Column, whole: bool = False) -> Column:
-    line = F.when(line.rlike(UNSPACED), F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line) if whole else line
-    return F.array_remove(F.split(line, common.SPACES), "")
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), line: the lines that have a word."""
+    each = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where(F.length(F.btrim("line", F.lit(" \t\x0b\f\r"))) > 0)
 
 
-def lines(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, line_no (from 0), words: the lines long enough to be compared."""
-    each = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.select("doc_id", "line_no", words_of(F.col("line"), whole).alias("words")).where(F.size("words") >= (1 if whole else MIN_WORDS))
+def with_words(rows: DataFrame) -> DataFrame:
+    """s (the words of line, one blank between), bare (without blanks) and n (words) in line's place."""
+    rest = [c for c in rows.columns if c != "line"]
+    # a character of WIDE has two bytes more than a length of one
+    wide = (F.octet_length("line") >= F.length("line") + 2) & F.col("line").rlike(WIDE)
+    rows = rows.select(*rest, F.when(wide, F.regexp_replace("line", UNSPACED, " $1 ")).otherwise(F.col("line")).alias("line"))
+    other = F.startswith(F.col("line"), F.lit(" ")) | F.endswith(F.col("line"), F.lit(" "))
+    for gap in ("  ", "\t", "\x0b", "\f", "\r"):
+        other = other | F.contains(F.col("line"), F.lit(gap))
+    rows = rows.select(*rest, F.when(other, F.btrim(F.regexp_replace("line", common.SPACES, " "))).otherwise(F.col("line")).alias("s"))
+    rows = rows.select(*rest, "s", F.replace(F.col("s"), F.lit(" "), F.lit("")).alias("bare"))
+    return rows.select(*rest, "s", "bare", (F.octet_length("s") - F.octet_length("bare") + 1).alias("n"))
 
 
-def line_keys(words: Column) -> Column:
-    """struct(h1, h2, ends): a line's 128-bit identity, and the hashes by which it meets near lines.
+def _words(s: Column, k: Column) -> Column:
+    """The first k words, or the last -k."""
+    return F.call_function("substring_index", s, F.lit(" "), k.cast("int"))
+
+
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """at (doc_id, line_no), h1, h2 of every line; ends: the keys by which it meets near lines, null where only copies count.
 
     For a pair of m and n words, m <= n <= m + 1, the shared half has m div 2 words: ends
-    has the halves for m = n and for m = n - 1. The identity is made of the halves too.
+    has the halves for m = n and for m = n - 1.
     """
+    near = (F.col("n") >= MIN_WORDS) | (F.col("n") >= NEAR_WORDS) & (F.length("bare") >= NEAR_CHARS)
+    half = lambda m: [F.xxhash64(F.lit(1), m, _words(F.col("s"), F.floor(m / 2))), F.xxhash64(F.lit(2), m, _words(F.col("s"), -F.floor(m / 2)))]
+    ends = F.when(near, F.array(*half(F.col("n")), *half(F.col("n") - 1)))
+    return with_words(lines(docs)).select(F.struct("doc_id", "line_no").alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(9), "s").alias("h2"), ends.alias("ends"))
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        half = F.floor(n / 2).cast("int")
-        ends = lambda k: F.array(F.xxhash64(F.lit(1), F.slice(w, 1, k)), F.xxhash64(F.lit(2), F.slice(w, n - k + 1, k)))
 
-        def joined(own: Column) -> Column:
-            less = F.when(n % 2 == 1, own).otherwise(ends(half - 1))
-            middle = F.when(n % 2 == 1, w[half]).otherwise(F.lit(""))
-            keys = lambda e, m: [F.xxhash64(e[0], m), F.xxhash64(e[1], m)]
-            return F.struct(F.xxhash64(own[0], middle, n).alias("h1"), F.xxhash64(own[1], n, middle).alias("h2"), let(less, lambda e: F.array(*keys(own, n), *keys(e, n - 1))).alias("ends"))
+def without(s: Column, n: Column, at: Column) -> Column:
+    """The line without its word number at; the whole line for -1."""
+    before, after = _words(s, at), _words(s, at - n + 1)
+    return F.when(at < 0, s).when(at == 0, after).when(at == n - 1, before).otherwise(F.concat(before, F.lit(" "), after))
 
-        return let(ends(half), joined)
 
-    return let(words, of)
+def running(hashes: Column) -> Column:
+    """0 and the running exclusive or, summed by blocks: an array grows by copying."""
+    xor = lambda a, x: F.array_append(a, F.element_at(a, -1).bitwiseXOR(x))
+    sums = lambda x: F.aggregate(x, F.array(F.lit(0).cast("long")), xor)
+    blocks = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / BLOCK).cast("int")), lambda b: sums(F.slice(h, b * BLOCK + 1, BLOCK))))
+
+    def whole(own: Column) -> Column:
+        start = sums(F.transform(own, lambda x: F.element_at(x, -1)))
+        moved = let(start, lambda o: F.flatten(F.transform(own, lambda x, b: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v.bitwiseXOR(o[b])))))
+        return F.array_append(moved, F.element_at(start, -1))
+
+    return let(blocks, whole)
 
 
-def variants(words: Column) -> Column:
+def long_variants(words: Column) -> Column:
     """(key, at) of the line (at -1) and of the line without its word number at.
 
     A line's hash is the exclusive or of its words' hashes with their places, so all its
     variants come from running sums: of the words where they are, and moved one forward.
     """
 
-    def running(hashes: Column) -> Column:
-        return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1).bitwiseXOR(x)))
-
     def of(w: Column) -> Column:
         here = running(F.transform(w, lambda x, i: F.xxhash64(x, i)))
         moved = running(F.transform(w, lambda x, i: F.xxhash64(x, i - 1)))
@@ -105,21 +127,15 @@ def variants(words: Column) -> Column:
     return let(words, of)
 
 
-def within_bound(a: Column, b: Column) -> Column:
-    """Whether word arrays a and b differ by one edit at most."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: ~x))
-    shorter_in = lambda s, w: F.exists(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.concat(F.slice(w, 1, i), F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0)))) == s)
-    return F.when(F.size(a) == F.size(b), same <= 1).when(F.size(a) + 1 == F.size(b), shorter_in(a, b)).when(F.size(b) + 1 == F.size(a), shorter_in(b, a)).otherwise(False)
-
-
-def placed_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """at (doc_id, line_no), h1, h2, ends of every line that is compared; ends is empty where only copies count."""
-    each = lines(docs, whole).select(F.struct("doc_id", "line_no").alias("at"), line_keys(F.col("words")).alias("k"), F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("chars"))
-    near = (F.col("n") >= MIN_WORDS) | (F.col("n") >= NEAR_WORDS) & (F.col("chars") >= NEAR_CHARS)
-    return each.select("at", "k.h1", "k.h2", F.when(near, F.col("k.ends")).otherwise(F.array().cast("array<bigint>")).alias("ends") if whole else "k.ends")
+def variants(able: DataFrame) -> DataFrame:
+    """first, key, at of able (first, s, n). Lines of LONG + 1 words emit both kinds, so that any two lines within one edit share a kind."""
+    short = able.where(F.col("n") <= LONG + 1).select("first", "s", "n", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("at"))
+    short = short.select("first", F.xxhash64(without(F.col("s"), F.col("n"), F.col("at"))).alias("key"), "at")
+    long = able.where(F.col("n") > LONG).select("first", F.explode(long_variants(F.split("s", " "))).alias("v"))
+    return short.unionByName(long.select("first", F.xxhash64(F.lit(9), "v.key").alias("key"), "v.at"))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, whole: bool = False) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """first (doc_id, line_no) of the distinct lines that have an earlier line within the bound.
 
     Lines whose variants agree fall into groups by (variant, deleted place), which replace
@@ -129,46 +145,48 @@ def near_lines(docs: DataFrame, distinct: DataFrame, whole: bool = False) -> Dat
     word to become it, and theirs is that one line; each needs the earlier of the two only.
     So joining each group with one line, its earliest, finds all.
     """
-    ends = distinct.select("h1", F.explode(F.array_distinct("ends")).alias("end"))
+    ends = distinct.where("ends is not null").select("h1", F.explode(F.array_distinct("ends")).alias("end"))
     met = ends.groupBy("end").agg(F.count("*").alias("m")).where("m > 1").select("end")
-    able = common.materialise(distinct.select("h1", "first").join(ends.join(met, "end", "left_semi").select("h1").distinct(), "h1", "left_semi").select("first"), "able")
+    able = distinct.select("h1", "first").join(ends.join(met, "end", "left_semi").select("h1").distinct(), "h1", "left_semi")
     # the words come from each line's first place: one line for each distinct line
-    at = able.select("first.doc_id", "first.line_no")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = common.materialise(at.select("doc_id").distinct(), "ids")
-    texts = common.possible_rows(texts, ids)
-    found = lines(texts, whole).join(at.hint("merge"), ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("first"), "words")
+    at = common.materialise(able.select("first.doc_id", "first.line_no"), "able")
+    found = common.possible_rows(lines(docs), at, ["doc_id", "line_no"]).join(at.hint("merge"), ["doc_id", "line_no"], "left_semi")
+    found = with_words(found).select(F.struct("doc_id", "line_no").alias("first"), F.struct("s", "n").alias("x"))
     # rows that repeat a doc_id may put several lines at one place: the least speaks for it
-    able = common.materialise(found.groupBy("first").agg(F.min("words").alias("words")), "candidates")
+    able = common.materialise(found.groupBy("first").agg(F.min("x").alias("x")).select("first", "x.*"), "candidates")
 
-    emitted = common.materialise(able.select("first", F.explode(variants(F.col("words"))).alias("v")).select("first", "v.*"), "variants")
+    emitted = common.materialise(variants(able), "variants")
     places = common.materialise(emitted.groupBy("key", "at").agg(F.min("first").alias("low"), F.count("*").alias("m")), "places")
-    keys = places.groupBy("key").agg(F.max("m").alias("most"), F.min(F.when(F.col("at") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("cut"))
+    of = F.struct("low", "at")
+    keys = places.groupBy("key").agg(F.max("m").alias("most"), F.min(F.when(F.col("at") < 0, of)).alias("whole"), F.min(F.when(F.col("at") >= 0, of)).alias("cut"))
     some = keys.where((F.col("most") > 1) | F.col("whole").isNotNull() & F.col("cut").isNotNull())
-    partners = F.array(F.col("low"), F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")))
+    partners = F.array(of, F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")))
     groups = places.join(some.select("key", "whole", "cut"), "key").select("key", "at", F.array_distinct(F.array_compact(partners)).alias("partners"))
-    pairs = emitted.join(groups, ["key", "at"]).select("first", F.explode("partners").alias("low")).where("low < first").distinct()
-    other = able.select(F.col("first").alias("low"), F.col("words").alias("low_words"))
-    return pairs.join(able, "first").join(other, "low").where(within_bound(F.col("words"), F.col("low_words"))).select("first").distinct()
+    pairs = emitted.join(groups, ["key", "at"]).select("first", "at", F.explode("partners").alias("p")).select("first", "at", "p.low", F.col("p.at").alias("low_at")).where("low < first").distinct()
+    other = able.select(F.col("first").alias("low"), F.col("s").alias("low_s"), F.col("n").alias("low_n"))
+    kept = without(F.col("s"), F.col("n"), F.col("at")) == without(F.col("low_s"), F.col("low_n"), F.col("low_at"))
+    return pairs.join(able, "first").join(other, "low").where(kept).select("first").distinct()
 
 
-def dropped_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, dropped: the sorted numbers of the lines that go, for the documents that lose any."""
-    placed = common.materialise(placed_lines(docs, whole), "placed")
+    placed = common.materialise(placed_lines(docs), "placed")
     distinct = common.materialise(placed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("ends").alias("ends")), "distinct")
-    near = common.materialise(near_lines(docs, distinct, whole), "near").withColumn("near", F.lit(True))
+    near = common.materialise(near_lines(docs, distinct), "near").withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", "first", "n").join(near, "first", "left").where("near or n > 1")
     gone = placed.select("at", "h1", "h2").join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first")))
     return gone.select("at.*").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """docs with the text cleaned, all their columns, and n_lines, n_dropped (long) after them."""
-    gone = common.materialise(dropped_lines(docs, whole), "dropped").withColumnsRenamed({"doc_id": "__doc_id", "dropped": "__dropped"})
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs with the text cleaned, all their columns, and __n (lines) and __gone (long) after them."""
+    gone = common.materialise(dropped_lines(docs), "dropped").withColumnsRenamed({"doc_id": "__doc_id", "dropped": "__dropped"})
     joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc_id"), "left")
-    kept = let(F.col("__dropped"), lambda d: F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(d, i)))
+    # places first: looking each line's number up in dropped would be quadratic
+    kept = let(F.split("text", "\n"), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__dropped")), lambda i: ls[i]))
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = [F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("__n"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__gone")]
+    n = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias("__n"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__gone")]
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *counts)
 
 
@@ -179,11 +197,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with l as (select doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) as line_no, string_split(text, chr(10)) as ls from documents where text is not null and doc_id is not null),
-w as (select doc_id, line_no, regexp_extract_all(ls[line_no + 1], '[^\x20\x09-\x0D]+') as ws from l),
-e as (select doc_id, line_no, ws, array_to_string(ws, ' ') as s from w where len(ws) >= 5),
+w as (select doc_id, line_no, regexp_extract_all(regexp_replace(ls[line_no + 1], '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]\p{M}*)', ' \1 ', 'g'), '[^\x20\x09-\x0D]+') as ws from l),
+e as (select doc_id, line_no, ws, array_to_string(ws, ' ') as s from w where len(ws) >= 1),
 d as (select s, ws, min({'doc_id': doc_id, 'line_no': line_no}) as f from e group by s, ws),
-v as (select s, f, ws, -1 as at, s as k from d union all
-      select s, f, ws, i as at, array_to_string(ws[1:i] || ws[i+2:], ' ') as k from (select *, unnest(range(0, len(ws))) as i from d)),
+c as (select * from d where len(ws) >= 5 or len(ws) >= 3 and length(array_to_string(ws, '')) >= 20),
+v as (select s, f, ws, -1 as at, s as k from c union all
+      select s, f, ws, i as at, array_to_string(ws[1:i] || ws[i+2:], ' ') as k from (select *, unnest(range(0, len(ws))) as i from c)),
 n as (select distinct b.s from v a join v b on a.k = b.k and a.f < b.f and a.s <> b.s and (a.at = b.at or a.at = -1 or b.at = -1)),
 g as (select distinct e.doc_id, e.line_no from e join d on d.s = e.s left join n on n.s = e.s where n.s is not null or d.f <> {'doc_id': e.doc_id, 'line_no': e.line_no}),
 o as (select l.doc_id, string_agg(l.ls[l.line_no + 1], chr(10) order by l.line_no) filter (where g.doc_id is null) as text, count(*) as n_lines, count(g.doc_id) as n_dropped

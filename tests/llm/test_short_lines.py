@@ -1,4 +1,4 @@
-"""Lines of any length are compared in the pipeline's line dedup."""
+"""Lines of any length are compared by line dedup."""
 
 from aerolens.llm import line_dedup
 
@@ -12,5 +12,5 @@ def test_short_and_unspaced_lines(spark):
         (4, "ภาษาไทย\nAll rights reserved."),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in line_dedup.dedup(docs, whole=True).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     assert out == {1: rows[0][1], 2: " \nab cd xy\nown", 3: f"Les\n{han[::-1]}\nภาษาไทย", 4: ""}
