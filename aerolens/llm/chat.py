@@ -1,14 +1,15 @@
 """Operator 5: chat formatting with offset-aligned loss masks.
 
-A turn is rendered as <|im_start|>role, a line feed, the text, <|im_end|> and a line
-feed. Control strings inside a text get a backslash after their '<' (and those that look
-escaped one more), so they never look like a turn and come back exactly; in roles,
-backslashes and line feeds are escaped.
+A turn is rendered as <|im_start|>role<|im_sep|>text<|im_end|>. The three control strings are
+added to the tokenizer, so each is one token, and no token reaches from the template into
+a role or a text. Control strings inside roles and texts (the vocabulary's own too) get a backslash
+after their '<', and those that look escaped one more, so they never look like a turn and come
+back exactly.
 
 A conversation is rendered whole and encoded once, with offsets. Turn spans and token
 spans are both sorted, so each assistant span finds its tokens by two binary searches;
-those tokens are under the loss mask, and what they cover within the span is the text
-that is learned.
+those tokens are under the loss mask. They cover the span and nothing else: what is learned is
+what they decode to.
 
 Rows are dealt by conversation and sorted in the partition, then streamed: one
 conversation is held at a time (it is one text), never a partition. As its hash runs over
@@ -36,106 +37,114 @@ from pyspark.sql import functions as F
 from . import common
 from .packing import vocabulary_path
 
-# The template's control strings.
-START, END = "<|im_start|>", "<|im_end|>"
+# The template's control strings and the vocabulary's.
+START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+_NAMES = "im_start|im_sep|im_end|endoftext"
 LEARNED = "assistant"
-_CONTROL = re.compile(r"<(\\*)\|im_(start|end)\|>")
-_ESCAPED = re.compile(r"<\\(\\*)\|im_(start|end)\|>")
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+_CONTROL = re.compile(rf"<(\\*)\|({_NAMES})\|>")
+_ESCAPED = re.compile(rf"<\\(\\*)\|({_NAMES})\|>")
+_TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.S)
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(r"<\\\1|im_\2|>", text)
+    return _CONTROL.sub(r"<\\\1|\2|>", text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"<\1|im_\2|>", text)
-
-
-def escape_role(role: str) -> str:
-    return escape(role).replace("\\", "\\\\").replace("\n", "\\n")
-
-
-def unescape_role(role: str) -> str:
-    return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
+    return _ESCAPED.sub(r"<\1|\2|>", text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:
     """The conversation's text and, for each turn, where its text lies and its role."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{SEP}", escape(text)
         spans.append((at + len(head), at + len(head) + len(body), role))
-        parts += [head, body, END, "\n"]
-        at = spans[-1][1] + len(END) + 1
+        parts += [head, body, END]
+        at = spans[-1][1] + len(END)
     return "".join(parts), spans
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
-    return [(unescape_role(role), unescape(text)) for role, text in _TURN.findall(formatted)]
+    return [(unescape(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
 @functools.cache
 def tokenizer(path: str):
+    """The vocabulary with the control strings as tokens of their own; one for each Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer, processors
+    from tokenizers import AddedToken, Tokenizer, processors
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in (START, SEP, END)])
     t.post_processor = processors.ByteLevel(trim_offsets=False)  # blanks belong to their tokens
     return t
 
 
-def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int, str]], learned: str = LEARNED) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Whether each token is under the mask, and the stretches of text that masked tokens cover within their spans."""
-    mask, covered = np.zeros(len(offsets), bool), []
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """Each id's bytes. A byte-level vocabulary writes printable bytes as themselves, the others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    t = tokenizer(path)
+    control = set(t.get_added_tokens_decoder())
+    out = [b""] * t.get_vocab_size(with_added_tokens=True)
+    for token, i in t.get_vocab(with_added_tokens=True).items():
+        out[i] = token.encode() if i in control else bytes(map(byte.__getitem__, token))
+    return out
+
+
+def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int, str]], learned: str = LEARNED) -> np.ndarray:
+    """Whether each token is under the mask: it lies within a learned span."""
+    mask = np.zeros(len(offsets), bool)
     starts, ends = offsets[:, 0], offsets[:, 1]
     for start, end, role in spans:
-        if role != learned or start == end:
-            continue
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
-        mask[a:b] = True
-        covered.append((max(start, int(starts[a])), min(end, int(ends[b - 1]))))
-    return mask, covered
+        if role == learned and start < end:
+            mask[np.searchsorted(starts, start, "left") : np.searchsorted(ends, end, "right")] = True
+    return mask
 
 
-FORMATTED = "conv_id long, formatted string, ids array<int>, loss array<boolean>, covered array<struct<start:long,end:long>>"
-_FORMATTED = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.bool_())), ("covered", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-#: Characters of finished conversations that wait to be sent on.
-WAITING = 4_000_000
+FORMATTED = "conv_id long, formatted string, ids array<int>, loss array<boolean>"
+#: Characters of conversations that are encoded and sent on together.
+WAITING = 1_000_000
 
 
 def format_conversations(rows: DataFrame, path: str | None = None, learned: str = LEARNED) -> DataFrame:
-    """FORMATTED: each conversation's text, ids, loss mask by token, and the text stretches under it."""
+    """FORMATTED: each conversation's text, ids and loss mask by token."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, out, size = tokenizer(path), [], 0
-
-        def finish(conv: int, turns: list[tuple[str, str]]) -> int:
-            text, spans = render(turns)
-            encoded = t.encode(text, add_special_tokens=False)
-            offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
-            mask, covered = loss_mask(offsets, spans, learned)
-            out.append({"conv_id": conv, "formatted": text, "ids": encoded.ids, "loss": mask.tolist(), "covered": [{"start": a, "end": b} for a, b in covered]})
-            return len(text)
+        t, waiting, size = tokenizer(path), [], 0
+
+        def finished() -> pa.RecordBatch:
+            texts = [text for _, text, _ in waiting]
+            ids, masks = [], []
+            for encoded, (_, _, spans) in zip(t.encode_batch(texts, add_special_tokens=False), waiting):
+                ids.append(np.array(encoded.ids, np.int32))
+                masks.append(loss_mask(np.array(encoded.offsets, np.int64).reshape(-1, 2), spans, learned))
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values)))
+            out = pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in waiting], pa.int64()), pa.array(texts, pa.string()), lists(ids), lists(masks)], [x.split()[0] for x in FORMATTED.split(", ")])
+            waiting.clear()
+            return out
 
         conv, turns = None, []
         for batch in batches:
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if c != conv and turns:
-                    size += finish(conv, turns)
+                    waiting.append((conv, *render(turns)))
+                    size += len(waiting[-1][1])
                     turns = []
                     if size > WAITING:
-                        yield pa.RecordBatch.from_pylist(out, _FORMATTED)
-                        out.clear()
+                        yield finished()
                         size = 0
                 conv = c
                 turns.append((role or "", text or ""))
         if turns:
-            finish(conv, turns)
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _FORMATTED)
+            waiting.append((conv, *render(turns)))
+        if waiting:
+            yield finished()
 
     own = rows.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn"))
     dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -145,26 +154,32 @@ def format_conversations(rows: DataFrame, path: str | None = None, learned: str
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """DIGESTS, read back from format_conversations' output alone."""
+def digests(formatted: DataFrame, path: str | None = None) -> DataFrame:
+    """DIGESTS, read back from format_conversations' output alone: turns from the text, what is learned from the masked ids."""
+    path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = token_bytes(path)
         for batch in batches:
             rows = []
-            for conv, text, covered in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            convs, texts, ids, masks = (batch.column(i) for i in range(4))
+            for conv, text, own, mask in zip(convs.to_pylist(), texts.to_pylist(), ids, masks):
                 turns, hashed, loss, chars = read_back(text), hashlib.sha256(), hashlib.sha256(), 0
                 for role, said in turns:
                     hashed.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                for c in covered:
-                    part = unescape(text[c["start"] : c["end"]])
-                    loss.update(part.encode("utf-8", "surrogatepass"))
+                # a run of masked tokens is one text: control tokens lie between any two
+                own, mask = own.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+                for a, b in edges.reshape(-1, 2).tolist():
+                    part = unescape(b"".join(map(pieces.__getitem__, own[a:b].tolist())).decode())
+                    loss.update(part.encode())
                     chars += len(part)
                 rows.append((conv, len(turns), hashed.hexdigest(), chars, loss.hexdigest(), len(text)))
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in DIGESTS.split(", ")])
 
-    return formatted.select("conv_id", "formatted", "covered").mapInArrow(run, DIGESTS)
+    return formatted.select("conv_id", "formatted", "ids", "loss").mapInArrow(run, DIGESTS)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +195,6 @@ with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum(length(role) + length(regexp_replace(text, '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g')) + 24)::bigint as formatted_chars
+  sum(length(regexp_replace(role, '<(\\*)\|(im_start|im_sep|im_end|endoftext)\|>', '<\1\\|\2|>', 'g')) + length(regexp_replace(text, '<(\\*)\|(im_start|im_sep|im_end|endoftext)\|>', '<\1\\|\2|>', 'g')) + 32)::bigint as formatted_chars
 from c group by conv_id
 """

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from aerolens.llm import common, line_dedup, packing, pii, quality
@@ -111,7 +112,7 @@ def test_run_against_plain_python(spark, tmp_path):
         assert sorted((tuple(r) for r in spark.read.parquet(made[name]).select("doc_id", "text", "n_chars").collect()), key=order) == want, name
     assert len(rows) > sizes[0] == sizes[1] > sizes[2] and any(t == "" for _, t, _ in want)
 
-    tokenizer = packing.encoder(packing.vocabulary_path()).tokenizer
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t, _ in want}
     assert {p.doc_id for p in out} == set(ids)
     for i, all_ in ids.items():
