@@ -107,7 +107,7 @@ def running(hashes: Column) -> Column:
 
 
 def long_variants(words: Column) -> Column:
-    """(key, at) of the line (at -1) and of the line without its word number at.
+    """Keys of the line and of the line without each of its words, in order.
 
     A line's hash is the exclusive or of its words' hashes with their places, so all its
     variants come from running sums: of the words where they are, and moved one forward.
@@ -119,8 +119,8 @@ def long_variants(words: Column) -> Column:
 
         def keys(sums: Column) -> Column:
             all_moved = F.element_at(sums["moved"], -1)
-            cut = F.transform(w, lambda _, i: F.struct(sums["here"][i].bitwiseXOR(all_moved).bitwiseXOR(sums["moved"][i + 1]).alias("key"), i.alias("at")))
-            return F.array_append(cut, F.struct(F.element_at(sums["here"], -1).alias("key"), F.lit(-1).alias("at")))
+            cut = F.transform(w, lambda _, i: sums["here"][i].bitwiseXOR(all_moved).bitwiseXOR(sums["moved"][i + 1]))
+            return F.concat(F.array(F.element_at(sums["here"], -1)), cut)
 
         return let(F.struct(here.alias("here"), moved.alias("moved")), keys)
 
@@ -128,11 +128,17 @@ def long_variants(words: Column) -> Column:
 
 
 def variants(able: DataFrame) -> DataFrame:
-    """first, key, at of able (first, s, n). Lines of LONG + 1 words emit both kinds, so that any two lines within one edit share a kind."""
-    short = able.where(F.col("n") <= LONG + 1).select("first", "s", "n", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("at"))
-    short = short.select("first", F.xxhash64(without(F.col("s"), F.col("n"), F.col("at"))).alias("key"), "at")
-    long = able.where(F.col("n") > LONG).select("first", F.explode(long_variants(F.split("s", " "))).alias("v"))
-    return short.unionByName(long.select("first", F.xxhash64(F.lit(9), "v.key").alias("key"), "v.at"))
+    """first, key, at of able (first, s, n): the line (at -1) and the line without its word number at.
+
+    Up to LONG words the key is the variant's own hash, beyond it comes from long_variants; lines of
+    LONG + 1 words emit both kinds, so that any two lines within one edit share a kind.
+    """
+    short, long = F.array_repeat(F.lit(0).cast("long"), F.col("n") + 1), long_variants(F.split("s", " "))
+    keys = F.when(F.col("n") <= LONG, short).when(F.col("n") == LONG + 1, F.concat(short, long)).otherwise(long)
+    each = able.select("first", "s", "n", F.posexplode(keys).alias("place", "key"))
+    each = each.select("first", "s", "n", "key", (F.col("place") % (F.col("n") + 1) - 1).alias("at"), ((F.col("n") <= LONG + 1) & (F.col("place") <= F.col("n"))).alias("short"))
+    own = F.xxhash64(without(F.col("s"), F.col("n"), F.col("at")))
+    return each.select("first", F.when(F.col("short"), own).otherwise(F.xxhash64(F.lit(9), "key")).alias("key"), "at")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
