@@ -22,8 +22,11 @@ def main(words: list[str] | None = None) -> None:
     parser.add_argument("--poses", action="store_true", help="use the table of registered poses")
     parser.add_argument("--verified", action="store_true", help="the telemetry was measured")
     parser.add_argument("--evaluate-only", action="store_true", help="write the report of a finished run anew")
+    parser.add_argument("--target-fps", type=float, default=known.target_fps, help="frames a second taken from videos, where telemetry is in subtitles")
+    parser.add_argument("--max-gap", type=float, default=known.max_gap_ms, help="milliseconds between records that are bridged")
+    parser.add_argument("--cloud-budget", type=int, default=known.cloud_budget, help="points of a flight's cloud, about")
     a = parser.parse_args(words)
-    settings = run.Settings(a.least_move, a.least_sharpness, a.least_confidence, a.target, not a.no_mask, a.poses, a.verified)
+    settings = run.Settings(a.least_move, a.least_sharpness, a.least_confidence, a.target, not a.no_mask, a.poses, a.verified, a.target_fps, a.max_gap, a.cloud_budget)
     spark = SparkSession.builder.appName("aerolens").getOrCreate()
     if a.evaluate_only:
         run.report(spark, a.out, settings).write.mode("overwrite").parquet(f"{a.out}/report")

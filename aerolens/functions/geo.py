@@ -96,6 +96,3 @@ def quantised(value: Column, top: int) -> Column:
     """A colour share cut to [0, 1] as a whole number up to top, truncating."""
     return (F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)) * top).cast("int")
 
-
-def clipped(value: Column, most: Column) -> Column:
-    return F.greatest(F.least(value, most), -most)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .state import cut
 
 CONFIDENT = 10.0
 NOWHERE = 1e-9
@@ -27,13 +28,21 @@ def finite() -> Column:
     return ok
 
 
-def camera_centres(points: DataFrame, least_conf: float = CONFIDENT, enough: int = 8) -> DataFrame:
-    """Per frame the mean of its confident points; of all that lie somewhere, where those are few; of all, where none do."""
-    sure, some = F.col("conf") > least_conf, somewhere()
+def camera_centres(points: DataFrame, least_conf: float = CONFIDENT, enough: int = 8, strict: bool = False) -> DataFrame:
+    """Per frame the mean of its confident points; of all that lie somewhere, where those are few; of all, where none do.
+
+    Point maps without a conf column have no confident points. A centre that isn't finite has
+    sound = false; strict=True raises.
+    """
+    sure, some = (F.col("conf") > least_conf) if "conf" in points.columns else F.lit(False), somewhere()
     mean = lambda cond, tag: [F.avg(F.when(cond, F.col(c))).alias(f"{tag}{c}") for c in "xyz"]
     stats = points.groupBy("flight_id", "k").agg(F.count_if(sure).alias("n_sure"), F.count_if(some).alias("n_some"), *mean(sure, "s"), *mean(some, "m"), *mean(F.lit(True), "a"))
     pick = lambda c: F.when(F.col("n_sure") >= enough, F.col(f"s{c}")).when(F.col("n_some") > 0, F.col(f"m{c}")).otherwise(F.col(f"a{c}")).alias(c)
-    return stats.select("flight_id", "k", "n_sure", *map(pick, "xyz"))
+    found = stats.select("flight_id", "k", "n_sure", *map(pick, "xyz"))
+    if strict:
+        fault = F.raise_error(F.format_string("the centre of frame %s of flight %s isn't finite", F.col("k").cast("string"), F.col("flight_id").cast("string"))).cast("double")
+        return found.withColumns({c: F.when(finite(), F.col(c)).otherwise(fault) for c in "xyz"}).withColumn("sound", F.lit(True))
+    return found.withColumn("sound", finite())
 
 
 def masked_cloud(points: DataFrame, mask: DataFrame, least_conf: float = CONFIDENT) -> DataFrame:
@@ -41,6 +50,33 @@ def masked_cloud(points: DataFrame, mask: DataFrame, least_conf: float = CONFIDE
     return points.where((F.col("conf") > least_conf) & finite() & somewhere()).join(mask.select(*PIXEL).distinct(), PIXEL, "left_anti")
 
 
+def resized_mask(mask: DataFrame, pixels: DataFrame, made: tuple[int, int], wanted: tuple[int, int]) -> DataFrame:
+    """Those of pixels (PIXEL, of a raster of `wanted` rows and columns) whose nearest pixel of the mask's raster `made` is in mask."""
+    at = pixels.select(*PIXEL).withColumns({"__r": F.floor(F.col("px_row") * made[0] / wanted[0]), "__c": F.floor(F.col("px_col") * made[1] / wanted[1])})
+    own = mask.select("flight_id", "k", F.col("px_row").cast("long").alias("__r"), F.col("px_col").cast("long").alias("__c")).distinct()
+    return at.join(own, ["flight_id", "k", "__r", "__c"], "left_semi").select(*PIXEL)
+
+
+def coloured(points: DataFrame, *sources: DataFrame) -> DataFrame:
+    """points with r, g, b from the first of sources (PIXEL, r, g, b) that has the pixel, else their own, else grey."""
+    out = points
+    for i, s in enumerate(sources):
+        out = out.join(s.select(*PIXEL, F.struct("r", "g", "b").alias(f"__{i}")), PIXEL, "left")
+    own = [[F.col(c)] if c in points.columns else [] for c in "rgb"]
+    return out.select(*[c for c in points.columns if c not in "rgb"], *[F.coalesce(*[F.col(f"__{i}.{c}") for i in range(len(sources))], *o, F.lit(0.5)).alias(c) for c, o in zip("rgb", own)])
+
+
+def numbered(points: DataFrame, height: int, width: int) -> DataFrame:
+    """points with pt_id: frames in order, a frame's pixels row by row."""
+    return points.withColumn("pt_id", (F.col("k").cast("long") * height + F.col("px_row")) * width + F.col("px_col"))
+
+
+def dense_vertices(vertices: DataFrame, by: list[str], share: float = 0.05) -> DataFrame:
+    """vertices (density, ...) without those below the share's quantile of each mesh's density."""
+    least = vertices.groupBy(*by).agg(F.percentile("density", F.lit(share)).alias("__least"))
+    return vertices.join(least, by).where(F.col("density") >= F.col("__least")).drop("__least")
+
+
 def mask_statistics(points: DataFrame, mask: DataFrame, least_conf: float = CONFIDENT) -> DataFrame:
     marked = points.join(mask.select(*PIXEL).distinct().withColumn("masked", F.lit(True)), PIXEL, "left")
     masked = F.coalesce("masked", F.lit(False))
@@ -75,41 +111,50 @@ def bounds(points: DataFrame, by: list[str]) -> DataFrame:
     return found
 
 
-def voxels(points: DataFrame, size: float, low: dict[str, float], aggregates: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per occupied voxel of the grid that begins half a voxel before low."""
-    at = [F.floor((F.col(c) - low[c] + size / 2) / size).alias(f"v{c}") for c in "xyz"]
-    return points.withColumns({f"v{c}": e for c, e in zip("xyz", at)}).groupBy(*by, "vx", "vy", "vz").agg(*aggregates)
+def voxels(points: DataFrame, grid: DataFrame, aggregates: list[Column], by: list[str]) -> DataFrame:
+    """One row per occupied voxel of each cloud's grid (by, size, low_x, low_y, low_z), which begins half a voxel before low."""
+    placed = points.join(grid.select(*by, "size", *[f"low_{c}" for c in "xyz"]), by)
+    at = [F.floor((F.col(c) - F.col(f"low_{c}") + F.col("size") / 2) / F.col("size")).alias(f"v{c}") for c in "xyz"]
+    return placed.select(*[placed[c] for c in points.columns], *at).groupBy(*by, "vx", "vy", "vz").agg(*aggregates)
 
 
-def voxel_downsample(points: DataFrame, budget: int, rounds: int = 5) -> tuple[DataFrame, float]:
-    """Means of position and colour per voxel, with a size sought so that about `budget` voxels are occupied.
+def voxel_grids(points: DataFrame, budget: int, by: list[str], rounds: int = 5) -> DataFrame:
+    """by, size, low_x, low_y, low_z of each cloud of more than budget points: about that many voxels are occupied.
 
-    Sizes are tried by counting only; the last tried one is applied.
+    Sizes are tried by counting only, all clouds that still search at once; a cloud stops within a
+    tenth of the budget, and keeps the size that was tried last.
     """
-    box = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{t}{c}") for c in "xyz" for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    means = [F.avg(c).alias(c) for c in ("x", "y", "z", "r", "g", "b") if c in points.columns]
-    if box["n"] <= budget:
-        return points, 0.0
-    low = {c: box[f"lo{c}"] for c in "xyz"}
-    volume = float(np.prod([max(box[f"hi{c}"] - box[f"lo{c}"], 1e-9) for c in "xyz"]))
-    size = max((volume / budget) ** (1 / 3), 1e-4)
-    applied = size
+    lows = [F.min(c).alias(f"low_{c}") for c in "xyz"]
+    spans = [F.greatest(F.max(c) - F.min(c), F.lit(1e-4)).alias(f"s{c}") for c in "xyz"]
+    boxes = points.groupBy(*by).agg(F.count("*").alias("n"), *lows, *spans).where(F.col("n") > budget)
+    first = F.greatest(F.pow(F.col("sx") * F.col("sy") * F.col("sz") / budget, F.lit(1 / 3)), F.lit(1e-4))
+    grids = cut(boxes.select(*by, *[f"low_{c}" for c in "xyz"], first.alias("size"), first.alias("next"), F.lit(False).alias("done")))
     for _ in range(rounds):
-        applied = size
-        n = voxels(points, size, low, [F.count("*").alias("n")]).count()
-        if n == 0:
-            size /= 2
-            continue
-        if abs(n - budget) <= 0.1 * budget:
+        tried = grids.where("not done").withColumn("size", F.col("next"))
+        counts = voxels(points, tried, [F.count("*").alias("m")], by).groupBy(*by).agg(F.count("*").alias("found"))
+        found = F.coalesce("found", F.lit(0))
+        near = F.abs(found - budget) < 0.1 * budget
+        change = F.when(found == 0, F.lit(0.5)).otherwise(F.greatest(F.pow(found / budget, F.lit(1 / 3)), F.lit(0.1)))
+        after = tried.join(counts, by, "left").withColumn("next", F.when(near, F.col("size")).otherwise(F.col("size") * change)).withColumn("done", near).drop("found")
+        grids = cut(grids.where("done").unionByName(after))
+        if grids.where("not done").isEmpty():
             break
-        size *= max((n / budget) ** (1 / 3), 0.1)
-    return voxels(points, applied, low, means).drop("vx", "vy", "vz"), applied
+    return grids.select(*by, "size", *[f"low_{c}" for c in "xyz"])
+
+
+def voxel_downsample(points: DataFrame, budget: int, by: list[str], rounds: int = 5) -> DataFrame:
+    """by, x, y, z and colours: means per voxel of the clouds over budget points, the others as they are."""
+    grids = voxel_grids(points, budget, by, rounds)
+    fields = [c for c in ("x", "y", "z", "r", "g", "b") if c in points.columns]
+    thinned = voxels(points, grids, [F.avg(c).alias(c) for c in fields], by).select(*by, *fields)
+    return points.join(grids.select(*by), by, "left_anti").select(*by, *fields).unionByName(thinned)
 
 
 def raster(points: DataFrame, order: Column, box: DataFrame, by: list[str], side: int = 1024) -> DataFrame:
     """Sparse top-down cells (gx, gy, r, g, b); of a cell's points the last by order shows.
 
-    box: per `by`, min_x, max_x, min_y, max_y; an extent of nothing is widened by half a unit either way.
+    order is a long (pt_id), so that a cell's colour and rank are two numbers in a hash table before
+    the shuffle. box: per `by`, min_x, max_x, min_y, max_y; an extent of nothing is widened by half a unit either way.
     """
     flat = lambda c: F.col(f"max_{c}") - F.col(f"min_{c}") <= 0
     lo = lambda c: F.when(flat(c), F.col(f"min_{c}") - 0.5).otherwise(F.col(f"min_{c}"))
@@ -117,8 +162,10 @@ def raster(points: DataFrame, order: Column, box: DataFrame, by: list[str], side
     cell = lambda c: ((F.col(c) - lo(c)) / (hi(c) - lo(c)) * (side - 1)).cast("int")
     inside = lambda x: F.greatest(F.least(x, F.lit(side - 1)), F.lit(0))
     placed = points.join(box, by).withColumn("gx", inside(cell("x"))).withColumn("gy", inside((side - 1) - cell("y")))
-    colour = F.struct(*[geo.quantised(F.col(c), 255).alias(c) for c in "rgb"])
-    return placed.groupBy(*by, "gx", "gy").agg(F.max_by(colour, order).alias("c")).select(*by, "gx", "gy", "c.*")
+    r, g, b = (geo.quantised(F.col(c), 255) for c in "rgb")
+    cells = placed.groupBy(*by, "gx", "gy").agg(F.max_by(r * 65536 + g * 256 + b, order).alias("c"))
+    part = lambda i: F.call_function("shiftright", F.col("c"), F.lit(8 * i)).bitwiseAND(255)
+    return cells.select(*by, "gx", "gy", part(2).alias("r"), part(1).alias("g"), part(0).alias("b"))
 
 
 def moments(points: DataFrame, by: list[str], a: str = "xyz") -> DataFrame:
@@ -190,3 +237,16 @@ def cleaned_mask(image: np.ndarray, least: int) -> np.ndarray:
     small[border] = False
     small[0] = False
     return out | small[holes]
+
+
+def cleaned_masks(mask: DataFrame, height: int, width: int, least: int) -> DataFrame:
+    """PIXEL of each frame's mask after cleaned_mask: a kernel per frame over its image."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width), bool)
+        image[rows["px_row"], rows["px_col"]] = True
+        r, c = np.nonzero(cleaned_mask(image, least))
+        return pd.DataFrame({"flight_id": rows["flight_id"].iloc[0], "k": rows["k"].iloc[0], "px_row": r, "px_col": c})
+
+    own = mask.select(*[F.col(c).cast("long") for c in PIXEL]).where(F.col("px_row").between(0, height - 1) & F.col("px_col").between(0, width - 1)).distinct()
+    return own.groupBy("flight_id", "k").applyInPandas(run, "flight_id long, k long, px_row long, px_col long")

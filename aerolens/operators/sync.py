@@ -10,13 +10,27 @@ from ..functions import geo
 
 #: A flight's time is cut into stretches of this length, so that a long flight isn't one task's.
 STRETCH_MS = 3_600_000.0
-FIELDS = ("latitude", "longitude", "altitude_m", "gimbal_pitch", "gimbal_yaw")
+FIELDS = ("latitude", "longitude", "altitude_m", "gimbal_pitch", "gimbal_yaw", "gimbal_roll")
 
 
 def sampled_frames(frames: DataFrame, interval: int) -> DataFrame:
     return frames.where(F.pmod("raw_i", F.lit(interval)) == 0)
 
 
+def sampling_interval(fps: Column, target: Column) -> Column:
+    """Raw frames per sampled one, at least 1; halves go to the even number; a video without a rate has 30 a second."""
+    rate = F.when(fps > 0, fps).otherwise(30.0)
+    return F.greatest(F.bround(rate / target).cast("int"), F.lit(1))
+
+
+def sampled_videos(frames: DataFrame, videos: DataFrame, target_fps: float) -> DataFrame:
+    """frames (flight_id, raw_i, ...) of videos (flight_id, fps) at about target_fps, with ms where they have none."""
+    rated = frames.join(videos.select("flight_id", "fps"), "flight_id")
+    kept = rated.where(F.pmod("raw_i", sampling_interval(F.col("fps"), F.lit(target_fps))) == 0)
+    ms = F.col("raw_i") * 1000.0 / F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
+    return kept.drop("fps") if "ms" in frames.columns else kept.withColumn("ms", ms).drop("fps")
+
+
 def brackets(samples: DataFrame, targets: DataFrame, stretch_ms: float = STRETCH_MS) -> DataFrame:
     """targets (flight_id, ms, ...) with structs l, r: the samples before (or at) and after each.
 
@@ -120,21 +134,43 @@ def reservoir(views: DataFrame, size: int, seed: int = 0) -> DataFrame:
     return views.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size).drop("__n")
 
 
+def fifo(views: DataFrame, size: int) -> DataFrame:
+    """The last `size` of each flight's views: what a first-in, first-out buffer holds in the end."""
+    order = Window.partitionBy("flight_id").orderBy(F.desc("view"))
+    return views.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size).drop("__n")
+
+
+def rescaled_head(views: DataFrame, initial: int, stride: int) -> DataFrame:
+    """views (flight_id, view, conf) whose `initial` first reference views (multiples of stride) are brought to the others' scale.
+
+    The factor is the largest confidence of the views between them by the largest of theirs.
+    """
+    if stride <= 1:
+        return views
+    reference = (F.col("view") % stride == 0) & (F.col("view") < initial * stride)
+    between = (F.col("view") % stride != 0) & (F.col("view") < (initial - 1) * stride)
+    factor = views.groupBy("flight_id").agg((F.max(F.when(between, F.col("conf"))) / F.max(F.when(reference, F.col("conf")))).alias("__f"))
+    joined = views.join(factor, "flight_id")
+    return joined.withColumn("conf", F.when(reference, F.col("conf") * F.coalesce("__f", F.lit(1.0))).otherwise(F.col("conf"))).drop("__f")
+
+
 def batches(views: DataFrame, stride: int) -> DataFrame:
     size = max(1, min((stride + 1) // 2, 10))
     return views.withColumn("batch", F.floor(F.col("view") / size))
 
 
 def registered_cameras(frames: DataFrame, poses: DataFrame, least: int = 4, missing: float = 0.5) -> DataFrame:
-    """(flight_id, k, x, y, z, posed) of each frame (flight_id, k, name); poses meet them by base name.
+    """(flight_id, k, x, y, z, posed) of each frame (flight_id, k, name); a pose's name is the
+    frame's without its folders, or else the whole of it.
 
     Frames without a pose lie between their neighbours, by place in the flight; before the
     first and after the last they stay there. Flights of fewer than least poses, or of more
     than that share missing, give nothing. Of poses of equal name the least counts.
     """
-    base = F.element_at(F.split("name", "/"), -1)
-    own = poses.groupBy("flight_id", base.alias("base")).agg(F.min(F.struct("x", "y", "z")).alias("p"))
-    met = frames.select("flight_id", "k", base.alias("base")).join(own, ["flight_id", "base"], "left")
+    own = poses.groupBy("flight_id", "name").agg(F.min(F.struct("x", "y", "z")).alias("p"))
+    by = lambda c, p: own.select("flight_id", F.col("name").alias(c), F.col("p").alias(p))
+    met = frames.select("flight_id", "k", "name", F.element_at(F.split("name", "/"), -1).alias("base")).join(by("base", "p1"), ["flight_id", "base"], "left").join(by("name", "p2"), ["flight_id", "name"], "left")
+    met = met.select("flight_id", "k", F.coalesce("p1", "p2").alias("p"))
     ordered = Window.partitionBy("flight_id").orderBy("k")
     n = F.row_number().over(ordered)
     at = F.when(F.col("p").isNotNull(), F.struct("n", "p"))

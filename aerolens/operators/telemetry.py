@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import geo
+from ..sources import listing
 
 # The written forms of subtitle telemetry.
 _TIME = r"(\d+):(\d+):(\d+)[,.](\d+)"
@@ -19,8 +20,12 @@ _LAT = rf"(?i)\[\s*lat(?:itude)?\s*:\s*{_NUMBER}\s*\]"
 _LON = rf"(?i)\[\s*lon(?:g(?:t)?itude)?\s*:\s*{_NUMBER}\s*\]"
 _ALT = rf"(?i)\[\s*(?:altitude|abs_alt|rel_alt)\s*:\s*{_NUMBER}"
 _PARENS = rf"(?i)GPS\s*\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)"
-_FRAME = r"(?i)FrameCnt\s*:\s*(\d+)"
-_IMU = {k: rf"(?i)\[\s*gimbal_{k}\s*:\s*{_NUMBER}\s*\]" for k in ("pitch", "yaw", "roll")}
+_FRAME = r"(?i)(?:FrameCnt|SrtCnt)\s*:\s*(\d+)"
+_IMU = {k: rf"(?i)\[\s*gimbal_{k}\s*:\s*{_NUMBER}" for k in ("pitch", "yaw", "roll")}
+
+
+#: What is interpolated of a record.
+FIELDS = ("latitude", "longitude", "altitude_m", "gimbal_pitch", "gimbal_yaw", "gimbal_roll")
 
 
 def number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -30,36 +35,51 @@ def number(text: Column, pattern: str, group: int = 1) -> Column:
 
 def subtitle_ms(text: Column) -> Column:
     """Milliseconds of the first HH:MM:SS,mmm; -1 where there is none."""
-    part = lambda i: F.regexp_extract(text, _TIME, i).try_cast("double")
-    return F.when(text.rlike(_TIME), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)).otherwise(-1.0)
+    parts = F.split(F.translate(F.regexp_extract(text, _TIME, 0), ",.", "::"), ":")
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    return F.coalesce(((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3), F.lit(-1.0))
 
 
-def position(text: Column) -> Column:
-    """struct(latitude, longitude, altitude_m): bracketed form first, then GPS(lon, lat, alt); null where neither is."""
+def once(rows: DataFrame, *fields: Column) -> DataFrame:
+    """rows with fields after their columns, each evaluated once a row.
+
+    The optimiser copies expressions into what uses them and into filters; a generator's
+    output it leaves alone.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*fields))))
+
+
+def position() -> Column:
+    """struct(latitude, longitude, altitude_m) of the columns of subtitle_blocks: bracketed form first, then GPS(lon, lat, alt)."""
     of = lambda lat, lon, alt: F.struct(lat.alias("latitude"), lon.alias("longitude"), alt.alias("altitude_m"))
-    lat, lon = number(text, _LAT), number(text, _LON)
-    bracketed = F.when(lat.isNotNull() & lon.isNotNull(), of(lat, lon, F.coalesce(number(text, _ALT), F.lit(0.0))))
-    a, b, c = (number(text, _PARENS, i) for i in (1, 2, 3))
+    lat, lon, a, b, c = (F.col(x) for x in ("lat", "lon", "p1", "p2", "p3"))
+    bracketed = F.when(lat.isNotNull() & lon.isNotNull(), of(lat, lon, F.coalesce("alt", F.lit(0.0))))
     # a second number beyond 90 can only be a longitude
     swapped = (F.abs(b) > 90) & (F.abs(a) <= 90)
     parens = F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), of(F.when(swapped, a).otherwise(b), F.when(swapped, b).otherwise(a), c))
     return F.coalesce(bracketed, parens)
 
 
-def imu(text: Column) -> Column:
-    """struct(gimbal_pitch, gimbal_yaw, gimbal_roll): all three or null."""
-    parts = {k: number(text, p) for k, p in _IMU.items()}
-    return F.when(F.forall(F.array(*parts.values()), lambda x: x.isNotNull()), F.struct(*[v.alias(f"gimbal_{k}") for k, v in parts.items()]))
-
-
 def subtitle_blocks(texts: DataFrame, strict: bool = False) -> DataFrame:
     """Every block of texts (flight_id, content) with its fields and, where it's unusable, a reason."""
     content = F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), r"^\s+|\s+$", "")
     blocks = texts.select("flight_id", F.posexplode(F.split(content, r"\n\s*\n")).alias("block", "text"))
     rows = F.split(F.trim("text"), "\n")
     timing = F.get(F.filter(rows, lambda x: x.contains(" --> ")), 0)
-    body = blocks.select("flight_id", "block", "text", F.size(rows).alias("n"), timing.alias("timing"), position(F.col("text")).alias("gps"), imu(F.col("text")).alias("imu"), F.regexp_extract("text", _FRAME, 1).try_cast("long").alias("count"))
-    body = body.withColumn("timestamp_ms", subtitle_ms(F.substring_index("timing", " --> ", 1)))
+    parens = F.split(F.regexp_extract("text", _PARENS, 0), r"[(),]")
+    found = once(blocks, rows.alias("rows"), timing.alias("timing"), parens.alias("parens"))
+    found = once(
+        found,
+        *[number(F.col("text"), p).alias(c) for c, p in (("lat", _LAT), ("lon", _LON), ("alt", _ALT))],
+        *[F.trim(F.get("parens", F.lit(i))).try_cast("double").alias(f"p{i}") for i in (1, 2, 3)],
+        *[number(F.col("text"), p).alias(f"i_{k}") for k, p in _IMU.items()],
+        F.regexp_extract("text", _FRAME, 1).try_cast("long").alias("count"),
+        subtitle_ms(F.substring_index("timing", " --> ", 1)).alias("timestamp_ms"),
+        F.size("rows").alias("n"),
+    )
+    whole = F.col("i_pitch").isNotNull() & F.col("i_yaw").isNotNull() & F.col("i_roll").isNotNull()
+    imu = F.when(whole, F.struct(*[F.col(f"i_{k}").alias(f"gimbal_{k}") for k in _IMU]))
+    body = found.select("flight_id", "block", "text", "n", "timing", position().alias("gps"), imu.alias("imu"), "count", "timestamp_ms")
     in_range = F.col("gps.latitude").between(-90, 90) & F.col("gps.longitude").between(-180, 180)
     reason = F.when(F.col("n") < 2, "short").when(F.col("timing").isNull(), "no timing").when(F.col("timestamp_ms") < 0, "bad time").when(F.col("gps").isNull(), "no position").when(~in_range, "out of range")
     if strict:
@@ -93,9 +113,31 @@ RECORD = (
 )
 
 
+def records_json(records: DataFrame) -> DataFrame:
+    """flight_id, name, value: each flight's records as one JSON array in order of time, under <flight>_gps.json.
+
+    A flight of flights (flight_id) without a record is an error where the array is written: see write_records.
+    """
+    fields = [c for c in records.columns if c not in ("flight_id", "block", "seq")]
+    order = F.struct("timestamp_ms", *[c for c in ("block", "seq") if c in records.columns], F.struct(*fields).alias("r"))
+    each = records.groupBy("flight_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["r"]).alias("rows"))
+    return each.select("flight_id", F.format_string("%s_gps.json", F.col("flight_id").cast("string")).alias("name"), F.to_json("rows").alias("value"))
+
+
+def write_records(texts: DataFrame, path: str) -> None:
+    """Subtitle texts (flight_id, content) as a folder of JSON arrays, one a flight; raises if one has no usable record."""
+    records = parse_subtitles(texts)
+    empty = texts.select("flight_id").distinct().join(records.select("flight_id").distinct(), "flight_id", "left_anti").limit(1).collect()
+    if empty:
+        raise ValueError(f"no position in the subtitles of {empty[0][0]}")
+    records_json(records).select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of records, flat or nested under gps, one file a flight."""
+    """JSON arrays of records, flat or nested under gps, one file a flight; raises where there is no record at all."""
     raw = spark.read.schema(RECORD).json(path, multiLine=True)
+    if raw.isEmpty():
+        raise ValueError(f"no telemetry record under {path}")
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
     own = lambda c: F.coalesce(F.col(f"gps.{c}"), F.col(c)).alias(c)
     return raw.select(name.alias("flight_id"), "timestamp_ms", "frame_idx", *map(own, ("latitude", "longitude", "altitude_m", "gimbal_pitch", "gimbal_yaw", "gimbal_roll")))
@@ -129,12 +171,28 @@ def sync_keys(records: DataFrame, mode: str = "auto") -> DataFrame:
     return found.select("flight_id", key.otherwise("error").alias("sync_key"))
 
 
+def _covered(records: DataFrame, frames: DataFrame, key: str, at: str, unit: str, tolerance: float) -> DataFrame:
+    r = records.groupBy("flight_id").agg(F.min(key).alias(f"first_{unit}"), F.max(key).alias(f"last_{unit}"), F.count("*").alias("n_records"))
+    f = frames.groupBy("flight_id").agg(F.min(at).alias(f"video_first_{unit}"), F.max(at).alias(f"video_last_{unit}"))
+    covered = (F.col(f"first_{unit}") <= F.col(f"video_first_{unit}") + tolerance) & (F.col(f"last_{unit}") >= F.col(f"video_last_{unit}") - tolerance)
+    return r.join(f, "flight_id").withColumn("covered", covered)
+
+
 def coverage(records: DataFrame, frames: DataFrame, tolerance_ms: float = 5000.0) -> DataFrame:
     """Per flight: the range of records, of frames, and whether the records reach over the frames."""
-    r = records.groupBy("flight_id").agg(F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), F.count("*").alias("n_records"))
-    f = frames.groupBy("flight_id").agg(F.min("ms").alias("video_first_ms"), F.max("ms").alias("video_last_ms"))
-    covered = (F.col("first_ms") <= F.col("video_first_ms") + tolerance_ms) & (F.col("last_ms") >= F.col("video_last_ms") - tolerance_ms)
-    return r.join(f, "flight_id").withColumn("covered", covered)
+    return _covered(records, frames, "timestamp_ms", "ms", "ms", tolerance_ms)
+
+
+def frame_coverage(records: DataFrame, frames: DataFrame, tolerance: int = 150) -> DataFrame:
+    """The same by frame numbers, for flights that are synchronised by frame."""
+    return _covered(records, frames, "frame_idx", "raw_i", "frame", tolerance)
+
+
+def pitch(records: DataFrame, steep: float = 60.0, enough: int = 3) -> DataFrame:
+    """Per flight the median pitch of its records with one, and whether the camera looks down; nulls below `enough`. A diagnostic."""
+    found = records.groupBy("flight_id").agg(F.count("gimbal_pitch").alias("n_pitch"), F.median("gimbal_pitch").alias("m"))
+    median = F.when(F.col("n_pitch") >= enough, F.col("m"))
+    return found.select("flight_id", "n_pitch", median.alias("median_pitch"), (F.abs(median) > steep).alias("nadir"))
 
 
 def summary(records: DataFrame) -> DataFrame:
@@ -144,13 +202,13 @@ def summary(records: DataFrame) -> DataFrame:
 
 
 def discover(spark: SparkSession, folders: list[str], stem: str) -> str | None:
-    """The telemetry file of a video: a subtitle of its name, a JSON file of its name, else the only one of a kind."""
+    """The telemetry file of a video: a subtitle of its name, a JSON file of its name, else the only one of a kind.
+
+    A folder that isn't there has no files; any other fault in reading one is raised.
+    """
     found = []
     for rank, folder in enumerate(folders):
-        try:
-            names = [r[0] for r in spark.read.format("binaryFile").load(folder).select("path").collect()]
-        except Exception:  # noqa: BLE001, S112 - a folder that isn't there has no files
-            continue
+        names = [r[0] for r in listing.files(spark, folder, missing=True).select("path").collect()]
         for kind, ending in enumerate((".srt", ".json")):
             own = sorted(n for n in names if n.lower().endswith(ending))
             found += [((kind, rank), n) for n in own if n.rsplit("/", 1)[-1].rsplit(".", 1)[0] in (stem, f"{stem}_gps")]
@@ -164,8 +222,14 @@ def synthetic_track(spark: SparkSession, frames: int, lat0: float, lon0: float)
     return spark.range(frames).select(F.col("id").alias("frame_idx"), (lat0 + 1e-5 * i).alias("latitude"), (lon0 + 2e-5 * i).alias("longitude"), (50 + 0.5 * F.sin(i / 10)).alias("altitude_m"), F.lit(True).alias("synthetic"))
 
 
+def origins(records: DataFrame) -> DataFrame:
+    """flight_id, latitude, longitude, altitude_m of each flight's first record (by time, then seq)."""
+    first = F.min_by(F.struct("latitude", "longitude", "altitude_m"), F.struct("timestamp_ms", "seq")).alias("o")
+    return records.groupBy("flight_id").agg(first).select("flight_id", "o.*")
+
+
 def with_enu(records: DataFrame) -> DataFrame:
-    """records with x, y, z from each flight's first record (by time, then seq)."""
-    origin = records.groupBy("flight_id").agg(F.min_by(F.struct("latitude", "longitude", "altitude_m"), F.struct("timestamp_ms", "seq")).alias("o"))
-    own = [F.col(c) for c in ("latitude", "longitude", "altitude_m")]
-    return records.join(origin, "flight_id").select(records["*"], *geo.enu(*own, F.col("o.latitude"), F.col("o.longitude"), F.col("o.altitude_m")))
+    """records with x, y, z from each flight's origin."""
+    own = ("latitude", "longitude", "altitude_m")
+    from_ = origins(records).select("flight_id", *[F.col(c).alias(f"__{c}") for c in own])
+    return records.join(from_, "flight_id").select(records["*"], *geo.enu(*map(F.col, own), *[F.col(f"__{c}") for c in own]))

@@ -20,11 +20,13 @@ _VT = """select user_id as flight_id, event_id as seq, cast({us} as double) / 10
   50e0 + (event_id % 5) * 5e-1 as altitude_m, cast((event_id * 37 % 360) - 180 as double) as gimbal_yaw,
   cast(-90 + (event_id % 40) as double) as gimbal_pitch, value as sharpness from {events}"""
 VT = _VT.format(us="epoch_us(ts)", events="events")
-_VC = """select cast(1 as bigint) as flight_id, l_suppkey % 20 as k, l_partkey % 64 as px_row, l_orderkey % 64 as px_col,
+_VC = """select cast(1 + l_orderkey % 2 as bigint) as flight_id, l_suppkey % 20 as k, l_partkey % 64 as px_row, l_orderkey % 64 as px_col,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity as x, l_extendedprice / 1e3 as y, l_discount * 1e2 as z,
   1e0 + l_tax * 2e2 as conf, l_discount * 1e1 as r, l_tax * 1.25e1 as g, l_quantity / 5e1 as b from {lineitem}"""
 VC = _VC.format(lineitem="lineitem")
 MASK = "select distinct flight_id, k, px_row, px_col from vc where x > 45 and k < 3"
+#: A number for each point of the driver's tables, in the order of its parts.
+PT_ID = "((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey"
 PT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -181,84 +183,90 @@ def buffer_candidates(spark, d):
     return rounded(sync.buffer_candidates(views, 10), 9, "worth")
 
 
-@query("""select k, n_sure, round(case when n_sure >= 8 then sx when n_some > 0 then mx else ax end, 6) as x, round(case when n_sure >= 8 then sz when n_some > 0 then mz else az end, 6) as z from (select k, count(*) filter (where conf > 10) as n_sure, count(*) filter (where abs(x) + abs(y) + abs(z) > 1e-9) as n_some,
-  avg(x) filter (where conf > 10) as sx, avg(z) filter (where conf > 10) as sz, avg(x) filter (where abs(x) + abs(y) + abs(z) > 1e-9) as mx, avg(z) filter (where abs(x) + abs(y) + abs(z) > 1e-9) as mz, avg(x) as ax, avg(z) as az from vc group by k)""")
+@query("""select flight_id, k, n_sure, round(case when n_sure >= 8 then sx when n_some > 0 then mx else ax end, 6) as x, round(case when n_sure >= 8 then sz when n_some > 0 then mz else az end, 6) as z from (select flight_id, k, count(*) filter (where conf > 10) as n_sure, count(*) filter (where abs(x) + abs(y) + abs(z) > 1e-9) as n_some,
+  avg(x) filter (where conf > 10) as sx, avg(z) filter (where conf > 10) as sz, avg(x) filter (where abs(x) + abs(y) + abs(z) > 1e-9) as mx, avg(z) filter (where abs(x) + abs(y) + abs(z) > 1e-9) as mz, avg(x) as ax, avg(z) as az from vc group by flight_id, k)""")
 def camera_centers(spark, d):
-    return rounded(cloud.camera_centres(vc(spark, d)).select("k", "n_sure", "x", "z"), 6, "x", "z")
+    return rounded(cloud.camera_centres(vc(spark, d)).select("flight_id", "k", "n_sure", "x", "z"), 6, "x", "z")
 
 
-@query("select k, round(avg(conf), 6) as mean_conf from vc group by k having avg(conf) < 9")
+@query("select flight_id, k, round(avg(conf), 6) as mean_conf from vc group by flight_id, k having avg(conf) < 9")
 def low_confidence_views(spark, d):
-    return rounded(cloud.low_confidence_views(vc(spark, d), 9.0).select("k", "mean_conf"), 6, "mean_conf")
+    return rounded(cloud.low_confidence_views(vc(spark, d), 9.0).select("flight_id", "k", "mean_conf"), 6, "mean_conf")
 
 
-@query("""select count(*) as total, count(m.k) as masked, count(*) filter (where m.k is null and conf > 10 and abs(x) + abs(y) + abs(z) > 1e-9) as valid, count(m.k) / count(*) as masked_fraction
-  from vc left join mask m on m.k = vc.k and m.px_row = vc.px_row and m.px_col = vc.px_col""")
+@query("""select vc.flight_id, count(*) as total, count(m.k) as masked, count(*) filter (where m.k is null and conf > 10 and abs(x) + abs(y) + abs(z) > 1e-9) as valid, count(m.k) / count(*) as masked_fraction
+  from vc left join mask m on m.flight_id = vc.flight_id and m.k = vc.k and m.px_row = vc.px_row and m.px_col = vc.px_col group by vc.flight_id""")
 def masked_cloud_stats(spark, d):
     points = vc(spark, d)
-    return cloud.mask_statistics(points, mask(points)).drop("flight_id")
+    return cloud.mask_statistics(points, mask(points))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, z from vc where conf > 10 and not exists (from mask m where m.k = vc.k and m.px_row = vc.px_row and m.px_col = vc.px_col)")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, z from vc where conf > 10 and not exists (from mask m where m.flight_id = vc.flight_id and m.k = vc.k and m.px_row = vc.px_row and m.px_col = vc.px_col)")
 def masked_cloud(spark, d):
     points = vc(spark, d)
     return cloud.masked_cloud(points, mask(points)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x", "y", "z")
 
 
-@query("""select vx, vy, vz, count(*) as n, sum(cast(round(y * 100000) as bigint))::bigint as sum_y from (select *, cast(floor((x - lx + 2.5e0) / 5e0) as bigint) as vx, cast(floor((y - ly + 2.5e0) / 5e0) as bigint) as vy, cast(floor((z - lz + 2.5e0) / 5e0) as bigint) as vz
-  from vc, (select min(x) as lx, min(y) as ly, min(z) as lz from vc)) group by 1, 2, 3""")
+@query("""select flight_id, vx, vy, vz, count(*) as n, sum(cast(round(y * 100000) as bigint))::bigint as sum_y from (select vc.*, cast(floor((x - lx + s / 2) / s) as bigint) as vx, cast(floor((y - ly + s / 2) / s) as bigint) as vy, cast(floor((z - lz + s / 2) / s) as bigint) as vz
+  from vc join (select flight_id, 4e0 + flight_id as s, min(x) as lx, min(y) as ly, min(z) as lz from vc group by flight_id) o on o.flight_id = vc.flight_id) group by 1, 2, 3, 4""")
 def voxel_downsample(spark, d):
     points = vc(spark, d)
-    low = points.agg(*[F.min(c).alias(c) for c in "xyz"]).first().asDict()
-    return cloud.voxels(points, 5.0, low, [F.count("*").alias("n"), F.sum(F.round(F.col("y") * 100000).cast("long")).alias("sum_y")])
+    grid = points.groupBy("flight_id").agg(*[F.min(c).alias(f"low_{c}") for c in "xyz"]).withColumn("size", 4.0 + F.col("flight_id"))
+    return cloud.voxels(points, grid, [F.count("*").alias("n"), F.sum(F.round(F.col("y") * 100000).cast("long")).alias("sum_y")], ["flight_id"])
+
+
+@query()
+def voxel_budget(spark, d):
+    return cloud.voxel_downsample(vc(spark, d), 500, ["flight_id"])
 
 
 _CELL = "least(greatest({0}, 0), 1023)"
 
 
-@query(f"""select gx, gy, c.r as r, c.g as g, c.b as b from (select gx, gy, arg_max({{'r': qr, 'g': qg, 'b': qb}}, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as c from (
-  select *, {_CELL.format("trunc((x - lx) / (hx - lx) * 1023)::int")} as gx, {_CELL.format("1023 - trunc((y - ly) / (hy - ly) * 1023)::int")} as gy, {", ".join(f"trunc(greatest(least({c}, 1e0), 0e0) * 255)::int as q{c}" for c in "rgb")}
-  from vc, (select min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from vc)) group by gx, gy)""")
+@query(f"""select flight_id, gx, gy, c.r as r, c.g as g, c.b as b from (select flight_id, gx, gy, arg_max({{'r': qr, 'g': qg, 'b': qb}}, {PT_ID}) as c from (
+  select vc.*, {_CELL.format("trunc((x - lx) / (hx - lx) * 1023)::int")} as gx, {_CELL.format("1023 - trunc((y - ly) / (hy - ly) * 1023)::int")} as gy, {", ".join(f"trunc(greatest(least({c}, 1e0), 0e0) * 255)::int as q{c}" for c in "rgb")}
+  from vc join (select flight_id, min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from vc group by flight_id) o on o.flight_id = vc.flight_id) group by flight_id, gx, gy)""")
 def raster_last_write(spark, d):
     points = vc(spark, d)
-    return cloud.raster(points, F.struct(*PT), cloud.bounds(points, ["flight_id"]), ["flight_id"]).drop("flight_id")
+    return cloud.raster(points, F.expr(PT_ID), cloud.bounds(points, ["flight_id"]), ["flight_id"])
 
 
-@query("select k, count(*) as n_points, " + ", ".join(f"min({c}) as min_{c}, max({c}) as max_{c}, greatest(max({c}) - min({c}), 1e0) as span_{c}, greatest(greatest(max({c}) - min({c}), 1e0) / 1e7, 0.001e0) as scale_{c}" for c in "xyz") + " from vc group by k")
+@query("select flight_id, k, count(*) as n_points, " + ", ".join(f"min({c}) as min_{c}, max({c}) as max_{c}, greatest(max({c}) - min({c}), 1e0) as span_{c}, greatest(greatest(max({c}) - min({c}), 1e0) / 1e7, 0.001e0) as scale_{c}" for c in "xyz") + " from vc group by flight_id, k")
 def cloud_bounds_las_scale(spark, d):
-    return cloud.bounds(vc(spark, d), ["k"])
+    return cloud.bounds(vc(spark, d), ["flight_id", "k"])
 
 
-@query("select k, count(*) as n, " + ", ".join(f"round(avg({c}), 4) as mean_{c}" for c in "xyz") + ", " + ", ".join(f"round(covar_pop({p[0]}, {p[1]}), 4) as cov_{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz")) + " from vc group by k")
+@query("select flight_id, k, count(*) as n, " + ", ".join(f"round(avg({c}), 4) as mean_{c}" for c in "xyz") + ", " + ", ".join(f"round(covar_pop({p[0]}, {p[1]}), 4) as cov_{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz")) + " from vc group by flight_id, k")
 def pca_moments(spark, d):
-    m = cloud.moments(vc(spark, d), ["k"])
-    return rounded(m, 4, *[c for c in m.columns if c not in ("k", "n")])
+    m = cloud.moments(vc(spark, d), ["flight_id", "k"])
+    return rounded(m, 4, *[c for c in m.columns if c not in ("flight_id", "k", "n")])
 
 
 _CONTROL = "select flight_id, k, x, y, z, 2e0 * y + 1e0 as u, -2e0 * x + 3e0 as v, 2e0 * z + (l_orderkey % 7) * 1e-2 as w from "
 
 
-@query(f", c as ({_CONTROL} vc) select k, count(*) as n, " + ", ".join(f"round(avg({c}), 4) as mean_{c}" for c in "xyzuvw") + ", round(var_pop(x) + var_pop(y) + var_pop(z), 4) as src_var, " + ", ".join(f"round(covar_pop({q}, {p}), 4) as cov_{q}{p}" for q in "uvw" for p in "xyz") + " from c group by k")
+@query(f", c as ({_CONTROL} vc) select flight_id, k, count(*) as n, " + ", ".join(f"round(avg({c}), 4) as mean_{c}" for c in "xyzuvw") + ", round(var_pop(x) + var_pop(y) + var_pop(z), 4) as src_var, " + ", ".join(f"round(covar_pop({q}, {p}), 4) as cov_{q}{p}" for q in "uvw" for p in "xyz") + " from c group by flight_id, k")
 def umeyama_moments(spark, d):
-    m = cloud.fit_moments(spark.sql(f"{_CONTROL} {{v}}", v=vc(spark, d)), ["k"])
-    return rounded(m, 4, *[c for c in m.columns if c not in ("k", "n")])
+    m = cloud.fit_moments(spark.sql(f"{_CONTROL} {{v}}", v=vc(spark, d)), ["flight_id", "k"])
+    return rounded(m, 4, *[c for c in m.columns if c not in ("flight_id", "k", "n")])
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(2.5e0 * (0e0 * x + -1e0 * y + 0e0 * z) + 10e0, 6) as x, round(2.5e0 * (1e0 * x + 0e0 * y + 0e0 * z) + 20e0, 6) as y, round(2.5e0 * (0e0 * x + 0e0 * y + 1e0 * z) + 30e0, 6) as z from vc")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round(if(flight_id = 1, 2.5e0 * ({a}) + {t}, 0.5e0 * ({b}) + {u}), 6) as {c}" for c, a, t, b, u in (("x", "-1e0 * y", "10e0", "z", "1e0"), ("y", "x", "20e0", "x", "2e0"), ("z", "z", "30e0", "y", "3e0"))) + " from vc")
 def similarity_apply(spark, d):
-    one = spark.sql("select cast(1 as bigint) as flight_id, 2.5e0 as scale, array(array(0e0, -1e0, 0e0), array(1e0, 0e0, 0e0), array(0e0, 0e0, 1e0)) as rotation, array(10e0, 20e0, 30e0) as translation")
-    return rounded(align.apply_transforms(vc(spark, d).select("flight_id", *PT[:4], "x", "y", "z"), one).drop("flight_id"), 6, "x", "y", "z")
+    one = "select cast(1 as bigint) as flight_id, 2.5e0 as scale, array(array(0e0, -1e0, 0e0), array(1e0, 0e0, 0e0), array(0e0, 0e0, 1e0)) as rotation, array(10e0, 20e0, 30e0) as translation"
+    both = spark.sql(one + " union all select 2, 0.5e0, array(array(0e0, 0e0, 1e0), array(1e0, 0e0, 0e0), array(0e0, 1e0, 0e0)), array(1e0, 2e0, 3e0)")
+    return rounded(align.apply_transforms(vc(spark, d).select("flight_id", *PT[:4], "x", "y", "z"), both).drop("flight_id"), 6, "x", "y", "z")
 
 
-_NEAR = "m2.k = a.k and abs(m2.px_row - a.px_row) <= 1 and abs(m2.px_col - a.px_col) <= 1"
+_NEAR = "m2.flight_id = a.flight_id and m2.k = a.k and abs(m2.px_row - a.px_row) <= 1 and abs(m2.px_col - a.px_col) <= 1"
 
 
-@query(f""", a as (select k, px_row, px_col, px_row * 65536 + px_col as component from mask union
-  select m2.k, m2.px_row, m2.px_col, a.component from a join mask m2 on {_NEAR} where a.component < m2.px_row * 65536 + m2.px_col),
-b as (select k, px_row, px_col, min(component) as component from a group by 1, 2, 3)
-select k, px_row, px_col, component, count(*) over (partition by k, component) as area from b""")
+@query(f""", a as (select flight_id, k, px_row, px_col, px_row * 65536 + px_col as component from mask union
+  select m2.flight_id, m2.k, m2.px_row, m2.px_col, a.component from a join mask m2 on {_NEAR} where a.component < m2.px_row * 65536 + m2.px_col),
+b as (select flight_id, k, px_row, px_col, min(component) as component from a group by 1, 2, 3, 4)
+select flight_id, k, px_row, px_col, component, count(*) over (partition by flight_id, k, component) as area from b""")
 def mask_components(spark, d):
-    return cloud.mask_components(mask(vc(spark, d))).select("k", "px_row", "px_col", "component", "area")
+    return cloud.mask_components(mask(vc(spark, d))).select("flight_id", "k", "px_row", "px_col", "component", "area")
 
 
 _MD5 = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey))"
@@ -275,34 +283,57 @@ def colour_quantise(spark, d):
     return vc(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[geo.quantised(F.col(c), 65535).alias(f"q{c}") for c in "rgb"])
 
 
-@query()
+_N = geo.WGS84_F / (2 - geo.WGS84_F)
+_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+_K = geo.UTM_SCALE * geo.WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_E = 2 * _N**0.5 / (1 + _N)
+
+
+@query(f""", z as (select flight_id, seq, latitude, radians(longitude - (zone * 6 - 183)) as away, zone, asinh(tan(radians(latitude))) - {_E!r} * atanh({_E!r} * sin(radians(latitude))) as q from (select *, cast(floor((longitude + 180) / 6) as int) % 60 + 1 as zone from vt)),
+x as (select *, atan2(sinh(q), cos(away)) as xi, asinh(sin(away) / sqrt(pow(sinh(q), 2) + pow(cos(away), 2))) as eta from z)
+select flight_id, seq, if(latitude >= 0, 32600, 32700) + zone as epsg, round({geo.UTM_FALSE_EAST!r} + {_K!r} * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))}), 4) as easting,
+  round(if(latitude < 0, {geo.UTM_FALSE_NORTH!r}, 0) + {_K!r} * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))}), 4) as northing from x""")
 def utm_project(spark, d):
     v = vt(spark, d)
-    return v.select("flight_id", "seq", geo.utm_epsg(F.col("latitude"), F.col("longitude")).alias("epsg"), *geo.utm(F.col("latitude"), F.col("longitude")))
+    return rounded(v.select("flight_id", "seq", geo.utm_epsg(F.col("latitude"), F.col("longitude")).alias("epsg"), *geo.utm(F.col("latitude"), F.col("longitude"))), 4, "easting", "northing")
 
 
-def control_points(spark: SparkSession, d: str) -> DataFrame:
-    """Cameras (vectors' first dimensions) and a planted similarity of them with deterministic noise and outliers."""
+def control_points(spark: SparkSession, d: str, far: str = "0e0") -> DataFrame:
+    """Cameras (vectors' first dimensions) and their positions by a planted similarity, u moved by `far`."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     at = [F.col("embedding")[i].cast("double") * 100 for i in range(3)]
-    noise = (F.col("vec_id") % 7 - 3) * 0.05 + F.when(F.col("vec_id") % 23 == 0, 40.0).otherwise(0.0)
-    return e.select(F.col("label").cast("long").alias("flight_id"), F.col("vec_id").alias("k"), *[a.alias(c) for a, c in zip(at, "xyz")], (at[1] * -2 + 5 + noise).alias("u"), (at[0] * 2 - 7).alias("v"), (at[2] * 2 + 30).alias("w"))
+    return e.select(F.col("label").cast("long").alias("flight_id"), F.col("vec_id").alias("k"), *[a.alias(c) for a, c in zip(at, "xyz")], (at[1] * -2 + 5 + F.expr(far)).alias("u"), (at[0] * 2 - 7).alias("v"), (at[2] * 2 + 30).alias("w"))
 
 
-@query()
+def level_ground(control: DataFrame) -> DataFrame:
+    """Moments of a flat cloud under each flight: the planted similarity keeps it level, so nothing is to be rolled."""
+    ground = control.select("flight_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("flight_id", (F.col("i") % 3 * 10.0).alias("x"), (F.floor(F.col("i") / 3) * 7.0).alias("y"), F.lit(-3.0).alias("z"))
+    return cloud.moments(ground, ["flight_id"])
+
+
+_FAR = "if(vec_id % 23 = 0, 40e0, 0e0)"
+_PLANTED = "e as (select cast(label as bigint) as flight_id, vec_id as k, embedding[1]::double * 100 as x, embedding[2]::double * 100 as y, embedding[3]::double * 100 as z from embeddings)"
+
+
+@query(f", {_PLANTED} select flight_id, count(*) as n, count(*) filter (where k % 23 <> 0) as n_inliers, 2e0 as scale, -1e0 as xy, 1e0 as yx, 1e0 as zz, 5e0 as tx, -7e0 as ty, 30e0 as tz, false as rolled, round(sqrt(count(*) filter (where k % 23 = 0) * 1600e0 / count(*)), 4) as rmse_m from e group by flight_id")
 def ransac_fit(spark, d):
-    return align.fit_transforms(control_points(spark, d))
+    control = control_points(spark, d, _FAR)
+    r, t = F.col("rotation"), F.col("translation")
+    found = align.fit_transforms(control, level_ground(control))
+    return rounded(found.select("flight_id", "n", "n_inliers", "scale", r[0][1].alias("xy"), r[1][0].alias("yx"), r[2][2].alias("zz"), t[0].alias("tx"), t[1].alias("ty"), t[2].alias("tz"), "rolled", "rmse_m"), 4, "scale", "xy", "yx", "zz", "tx", "ty", "tz", "rmse_m")
 
 
-@query()
+@query(f", {_PLANTED} select flight_id, k, round(-2 * y + 5, 4) as x, round(2 * x - 7, 4) as y, round(2 * z + 30, 4) as z, k % 23 <> 0 as inlier, false as rolled, 0e0 as shift_m from e")
 def georeferenced_cameras(spark, d):
-    control = control_points(spark, d)
-    return align.georeference(control, cloud.moments(control, ["flight_id"]))
+    control = control_points(spark, d, _FAR)
+    found = rounded(align.georeference(control, level_ground(control)), 4, "x", "y", "z", "shift_m")
+    return found
 
 
-@query()
+@query(f", {_PLANTED} select flight_id, count(*) as keyframes, greatest(1, round_even(0.2e0 * count(*), 0))::bigint as held_out, {', '.join(f'0e0 as {c}, 0e0 as residual_{c}' for c in _STATS)}, true as passed from e group by flight_id")
 def hold_out_report(spark, d):
-    return align.hold_out_report(control_points(spark, d))
+    control = control_points(spark, d)
+    return align.hold_out_report(control, cloud_moments=level_ground(control))
 
 
 @query("select flight_id, seq as raw_i from vt where seq % 10 = 0")
@@ -331,12 +362,12 @@ def view_batches(spark, d):
     return sync.batches(views.select("flight_id", "view"), 10)
 
 
-_BOXES = """select cast(1 as bigint) as flight_id, s_suppkey % 20 as k, s_nationkey as cls, (s_suppkey * 7 % 100) / 1e2 as conf,
+_BOXES = """select cast(1 + s_suppkey % 2 as bigint) as flight_id, s_suppkey % 20 as k, s_nationkey as cls, (s_suppkey * 7 % 100) / 1e2 as conf,
   cast(s_suppkey % 60 as int) as r0, cast(s_suppkey % 60 + 3 as int) as r1, cast(s_suppkey * 3 % 60 as int) as c0, cast(s_suppkey * 3 % 60 + 3 as int) as c1 from """
 
 
 @query(f""", boxes as ({_BOXES} supplier) select distinct flight_id, k, px_row, px_col from vc
-  where exists (from boxes o where o.k = vc.k and cls in (0, 1, 2, 3, 5, 7, 8, 14, 16) and o.conf >= 0.25 and px_row between r0 and r1 and px_col between c0 and c1)""")
+  where exists (from boxes o where o.flight_id = vc.flight_id and o.k = vc.k and cls in (0, 1, 2, 3, 5, 7, 8, 14, 16) and o.conf >= 0.25 and px_row between r0 and r1 and px_col between c0 and c1)""")
 def detection_masks(spark, d):
     boxes = spark.sql(f"{_BOXES} parquet.`{d}/supplier.parquet`")
     return cloud.detection_masks(boxes, vc(spark, d).select(*cloud.PIXEL).distinct())
@@ -347,15 +378,15 @@ def synthetic_track(spark, d):
     return rounded(telemetry.synthetic_track(spark, 1000, 28.6, 77.2), 9, "latitude", "longitude", "altitude_m")
 
 
-@query("select k, " + ", ".join(f"round(28.6e0 + {f}(y) / 111320e0, 9) as {f}_latitude, round(77.2e0 + {f}(x) / (111320e0 * cos(radians(28.6e0))), 9) as {f}_longitude" for f in ("min", "max")) + " from vc group by k")
+@query("select flight_id, k, " + ", ".join(f"round(28.6e0 + {f}(y) / 111320e0, 9) as {f}_latitude, round(77.2e0 + {f}(x) / (111320e0 * cos(radians(28.6e0))), 9) as {f}_longitude" for f in ("min", "max")) + " from vc group by flight_id, k")
 def cloud_degrees(spark, d):
-    box = cloud.bounds(vc(spark, d), ["k"])
+    box = cloud.bounds(vc(spark, d), ["flight_id", "k"])
     corner = lambda t: [e.alias(f"{t}_{n}") for e, n in zip(geo.enu_inverse(F.col(f"{t}_x"), F.col(f"{t}_y"), F.lit(28.6), F.lit(77.2)), ("latitude", "longitude"))]
-    found = box.select("k", *corner("min"), *corner("max"))
-    return rounded(found, 9, *found.columns[1:])
+    found = box.select("flight_id", "k", *corner("min"), *corner("max"))
+    return rounded(found, 9, *found.columns[2:])
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"cast(round(({c} - l{c}) / greatest(greatest(h{c} - l{c}, 1e0) / 1e7, 0.001e0)) as bigint) as i{c}" for c in "xyz") + ", " + ", ".join(f"trunc(greatest(least({c}, 1e0), 0e0) * 65535)::int as c{c}" for c in "rgb") + " from vc, (select " + ", ".join(f"min({c}) as l{c}, max({c}) as h{c}" for c in "xyz") + " from vc)")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"cast(round(({c} - l{c}) / greatest(greatest(h{c} - l{c}, 1e0) / 1e7, 0.001e0)) as bigint) as i{c}" for c in "xyz") + ", " + ", ".join(f"trunc(greatest(least({c}, 1e0), 0e0) * 65535)::int as c{c}" for c in "rgb") + " from vc join (select flight_id, " + ", ".join(f"min({c}) as l{c}, max({c}) as h{c}" for c in "xyz") + " from vc group by flight_id) o on o.flight_id = vc.flight_id")
 def las_coordinates(spark, d):
     points = vc(spark, d)
     return files.scaled_coordinates(points, cloud.bounds(points, ["flight_id"]), ["flight_id"], tuple(PT[:4])).drop("flight_id")
@@ -371,3 +402,54 @@ def registered_cameras(spark, d):
     frames = vt(spark, d).withColumn("k", F.row_number().over(order).cast("long")).withColumn("name", F.format_string("frames/frame_%05d.jpg", "k"))
     poses = frames.where("seq % 3 <> 0").select("flight_id", F.format_string("frame_%05d.jpg", "k").alias("name"), F.col("sharpness").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return rounded(sync.registered_cameras(frames, poses).select("flight_id", "k", "posed", "x"), 6, "x")
+
+
+@query(", v as (select flight_id, (array[0e0, 12.5e0, 25e0, 29.97e0, 50e0, 60e0])[1 + flight_id % 6] as fps from (select distinct flight_id from vt)) select vt.flight_id, seq as raw_i, round(seq * 1000 / if(fps > 0, fps, 30e0), 6) as ms from vt join v on v.flight_id = vt.flight_id where seq % greatest(round_even(if(fps > 0, fps, 30e0) / 5, 0)::int, 1) = 0")
+def video_sampling(spark, d):
+    frames = vt(spark, d).select("flight_id", F.col("seq").alias("raw_i"))
+    fps = F.array(*[F.lit(x) for x in (0.0, 12.5, 25.0, 29.97, 50.0, 60.0)])
+    videos = frames.select("flight_id").distinct().withColumn("fps", F.get(fps, (F.col("flight_id") % 6).cast("int")))
+    return rounded(sync.sampled_videos(frames, videos, 5.0), 6, "ms")
+
+
+@query("""select r.flight_id, first_frame, last_frame, n_records, video_first_frame, video_last_frame, first_frame <= video_first_frame + 150 and last_frame >= video_last_frame - 150 as covered
+  from (select flight_id, min(seq) as first_frame, max(seq) as last_frame, count(*) as n_records from vt where seq % 5 = 0 group by 1) r
+  join (select flight_id, min(seq) as video_first_frame, max(seq) as video_last_frame from vt group by 1) f on f.flight_id = r.flight_id""")
+def frame_coverage(spark, d):
+    v = vt(spark, d)
+    return telemetry.frame_coverage(v.where("seq % 5 = 0").withColumn("frame_idx", F.col("seq")), v.select("flight_id", F.col("seq").alias("raw_i")))
+
+
+@query("select flight_id, count(p) as n_pitch, if(count(p) >= 3, median(p), null) as median_pitch, if(count(p) >= 3, abs(median(p)) > 60, null) as nadir from (select flight_id, if(seq % 9 < flight_id % 9, null, gimbal_pitch) as p from vt) group by 1")
+def camera_pitch(spark, d):
+    return telemetry.pitch(vt(spark, d).select("flight_id", F.expr("if(seq % 9 < flight_id % 9, null, gimbal_pitch)").alias("gimbal_pitch")))
+
+
+@query(f", v as ({_VIEWS} vt), f as (select flight_id, max(conf) filter (where view % 5 <> 0 and view < 10) / max(conf) filter (where view % 5 = 0 and view < 15) as f from v group by 1) select v.flight_id, view, round(if(view % 5 = 0 and view < 15, conf * coalesce(f, 1), conf), 9) as conf from v join f on f.flight_id = v.flight_id")
+def head_window_rescale(spark, d):
+    views = spark.sql(f"{_VIEWS} {{v}}", v=vt(spark, d)).withColumn("view", F.col("view").cast("long"))
+    return rounded(sync.rescaled_head(views.select("flight_id", "view", "conf"), 3, 5), 9, "conf")
+
+
+@query(f", v as ({_VIEWS} vt) select flight_id, view from (select *, row_number() over (partition by flight_id order by view desc) as n from v) where n <= 7")
+def fifo_buffer(spark, d):
+    views = spark.sql(f"{_VIEWS} {{v}}", v=vt(spark, d)).withColumn("view", F.col("view").cast("long"))
+    return sync.fifo(views.select("flight_id", "view"), 7)
+
+
+@query("select flight_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, y as density from vc join (select flight_id as f, k as kk, quantile_cont(y, 0.05) as q from vc group by 1, 2) on f = flight_id and kk = k where y >= q")
+def density_trim(spark, d):
+    vertices = vc(spark, d).withColumn("density", F.col("y"))
+    return cloud.dense_vertices(vertices, ["flight_id", "k"]).select("flight_id", *PT[:4], "density")
+
+
+@query("select flight_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, (k * 64 + px_row) * 64 + px_col as pt_id from vc")
+def point_numbers(spark, d):
+    return cloud.numbered(vc(spark, d), 64, 64).select("flight_id", *PT[:4], "pt_id")
+
+
+@query("""select distinct flight_id, k, px_row, px_col from vc where exists (from (select distinct flight_id, k, px_row // 2 as r, px_col // 4 as c from mask) m where m.flight_id = vc.flight_id and m.k = vc.k and m.r = px_row // 2 and m.c = px_col // 4)""")
+def mask_resize(spark, d):
+    points = vc(spark, d)
+    small = mask(points).select("flight_id", "k", F.floor(F.col("px_row") / 2).alias("px_row"), F.floor(F.col("px_col") / 4).alias("px_col"))
+    return cloud.resized_mask(small, points.select(*cloud.PIXEL).distinct(), (32, 16), (64, 64))

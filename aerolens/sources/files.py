@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import listing
 
 
 def write_ply(points: DataFrame, path: str, order: Column) -> None:
@@ -19,15 +20,46 @@ def write_ply(points: DataFrame, path: str, order: Column) -> None:
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """x, y, z, r, g, b (shares) of ASCII PLY text; lines that aren't vertices are left out, missing colours are grey."""
+    """x, y, z, r, g, b (shares) of ASCII PLY text, in one file or in parts; missing colours are grey. No vertex is an error.
+
+    Vertices are the lines of three or six numbers and more that follow a header; lines of headers
+    hold none. Faces begin with their number of corners: a line of 1 + that many whole numbers is none.
+    """
     parts = F.split(F.trim("value"), r"\s+")
     at = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
-    rows = spark.read.text(path, recursiveFileLookup=True).select(*[at(i).alias(c) for i, c in enumerate(("x", "y", "z", "r", "g", "b"), 1)], F.size(parts).alias("n")).where("x is not null and y is not null and z is not null")
+    whole = F.forall(parts, lambda x: x.rlike(r"^\d+$"))
+    face = whole & (F.size(parts) > 3) & (F.size(parts) < 6) & (at(1) == F.size(parts) - 1)
+    numbers = F.forall(parts, lambda x: x.try_cast("double").isNotNull())
+    lines = spark.read.text(path, recursiveFileLookup=True).where(numbers & (F.size(parts) >= 3) & ~face)
+    rows = lines.select(*[at(i).alias(c) for i, c in enumerate(("x", "y", "z", "r", "g", "b"), 1)])
+    if rows.isEmpty():
+        raise ValueError(f"no vertex under {path}")
     top = rows.agg(F.max(F.greatest("r", "g", "b")).alias("top"))
     share = lambda c: F.coalesce(F.when(F.col("top") > 1, F.col(c) / 255).otherwise(F.col(c)), F.lit(0.5)).alias(c)
     return rows.crossJoin(F.broadcast(top)).select("x", "y", "z", *map(share, "rgb"))  # top is one row
 
 
+def read_newest_ply(spark: SparkSession, folder: str) -> DataFrame:
+    """read_ply of the .ply file in folder that was written last."""
+    found = listing.newest(listing.files(spark, folder, "*.ply")).select("path").collect()
+    if not found:
+        raise ValueError(f"no .ply file under {folder}")
+    return read_ply(spark, found[0][0])
+
+
+# The coordinate frame of local clouds, as the side file names it.
+_FRAME = {"coordinate_frame": "local_enu_meters", "horizontal_reference": "WGS-84 tangent-plane approximation", "vertical_reference": "input telemetry altitude_m; datum not inferred"}
+_AXES = {"x": "east_m", "y": "north_m", "z": "up_m"}
+
+
+def frame_json(origins: DataFrame) -> DataFrame:
+    """flight_id, value: the side file of a cloud in local metres, from its origin (flight_id, latitude, longitude, altitude_m)."""
+    own = [F.col(c).cast("double").alias(f"origin_{c}") for c in ("latitude", "longitude", "altitude_m")]
+    said = [F.lit(v).alias(k) for k, v in _FRAME.items()]
+    axes = F.struct(*[F.lit(v).alias(k) for k, v in _AXES.items()]).alias("axis_order")
+    return origins.select("flight_id", F.to_json(F.struct(*said, *own, axes)).alias("value"))
+
+
 def parse_poses(texts: DataFrame) -> DataFrame:
     """(flight_id, name, x, y, z) camera centres of pose lists (flight_id, content): every second line that isn't a comment."""
     rows = F.filter(F.split("content", r"\r?\n"), lambda x: (F.length(F.trim(x)) > 0) & ~F.trim(x).startswith("#"))
