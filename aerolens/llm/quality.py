@@ -3,16 +3,16 @@
 A first pass measures every whole text. Integer measures (per mille or hundredths) go
 into mergeable quantile sketches: log-linear histograms whose buckets keep five
 significant bits, so any quantile is right to 1/32, and merging is adding counts, in any
-order, with the same result after a lost executor. One sketch per (language, source); where that holds
-fewer than MIN_DOCS documents the language's is used, then that of all documents.
-A threshold lies SPREADS inter-quartile ranges above the median. The second pass joins
-the documents with their group's thresholds and filters.
+order, with the same result after a lost executor. There is one sketch per (language, source), per
+language and of all documents. A threshold lies SPREADS spreads above the median. The second
+pass joins the documents with their group's thresholds and filters.
 
-That is what op1_quality and its SQL define. Once a quarter of a group is junk, its upper
-quartile is junk's too and the threshold runs off. So the pipeline takes bounded thresholds:
-the spread is at most twice the median less the lower quartile, which holds up to half a
-group of junk; and a group's threshold lies no further above its own lower quartile than
-its language's does, which holds up to three quarters, while the language has under a half.
+Junk must not move the thresholds: the spread is the inter-quartile range, but at most twice the
+median less the lower quartile, which holds up to half a group of junk; and a group's
+threshold lies no further above its own lower quartile than its language's does, which
+holds up to three quarters, while the language has under a half. Small groups say little: a
+group's threshold is the mean of its own, weighted by its documents, and its language's, weighted
+by PRIOR_DOCS; the language's likewise with that of all.
 
 Groups may be hot: sketches are pre-aggregated before the shuffle, and the join goes by
 common.lookup_join.
@@ -32,7 +32,8 @@ from . import common
 from .common import let
 
 MIN_WORDS = 50
-MIN_DOCS = 200
+#: Documents that the wider group counts for in a threshold.
+PRIOR_DOCS = 20
 SPREADS = 6
 #: Measures and the least slack above the median (in the measure's unit), where the quartiles coincide.
 MEASURES = {"symbols": 20, "marks": 40, "capitals": 60, "dup_lines": 500, "repeats": 400, "word_length": 150}
@@ -105,30 +106,32 @@ def quantiles(sketch: DataFrame, by: list[str], points: tuple[int, ...] = (25, 5
     return ran.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("below") * 100 >= F.col("n") * q, F.col("bucket"))).alias(f"q{q}") for q in points])
 
 
-def thresholds(measures: DataFrame, bounded: bool = False) -> DataFrame:
+def thresholds(measures: DataFrame) -> DataFrame:
     """lang, source and max_<measure>: one row per group."""
     sketch = common.materialise(sketches(measures, ["lang", "source"]), "sketches")
     q = quantiles(sketch, ["level", "lang", "source", "measure"])
     slack = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])
-    spread = F.col("q75") - F.col("q25")
-    spread = F.least(spread, 2 * (F.col("q50") - F.col("q25"))) if bounded else spread
+    spread = F.least(F.col("q75") - F.col("q25"), 2 * (F.col("q50") - F.col("q25")))
     q = q.withColumn("most", F.col("q50") + F.greatest(F.lit(SPREADS) * spread, slack[F.col("measure")]))
     wide = common.materialise(q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col(of))).alias(f"{name}_{m}") for of, name in (("most", "max"), ("q25", "low")) for m in MEASURES]), "thresholds")
     names = [f"max_{m}" for m in MEASURES]
     lows = [f"low_{m}" for m in MEASURES]
     pick = lambda level: wide.where(F.col("level") == level).select("lang", "source", F.struct("n", *names, *lows).alias(f"t{level}"))
     joined = pick(0).join(pick(1).drop("source"), "lang").join(F.broadcast(pick(2).drop("lang", "source")), F.lit(True))
-    own = F.struct(F.col("t0.n").alias("n"), *[F.least(f"t0.max_{m}", F.col(f"t0.low_{m}") + F.col(f"t1.max_{m}") - F.col(f"t1.low_{m}")).alias(f"max_{m}") for m in MEASURES], *[F.col(f"t0.{x}").alias(x) for x in lows])
-    best = F.when(F.col("t0.n") >= MIN_DOCS, own if bounded else F.col("t0")).when(F.col("t1.n") >= MIN_DOCS, F.col("t1")).otherwise(F.col("t2"))
-    return joined.select("lang", "source", best.alias("t")).select("lang", "source", *[F.col(f"t.{n}").alias(n) for n in names])
+    limits = []
+    for m in MEASURES:
+        own = f"least(t0.max_{m}, t0.low_{m} + t1.max_{m} - t1.low_{m})"
+        language = f"((t1.n * t1.max_{m} + {PRIOR_DOCS} * t2.max_{m}) div (t1.n + {PRIOR_DOCS}))"
+        limits.append(F.expr(f"(t0.n * {own} + {PRIOR_DOCS} * {language}) div (t0.n + {PRIOR_DOCS})").alias(f"max_{m}"))
+    return joined.select("lang", "source", *limits)
 
 
-def quality(docs: DataFrame, bounded: bool = False) -> DataFrame:
-    """The contract's counts, base_failed, kept, then the measures and their thresholds; bounded ones for the pipeline."""
+def quality(docs: DataFrame) -> DataFrame:
+    """The contract's counts, base_failed, kept, then the measures and their thresholds."""
     m = measured(docs)
     m = common.materialise(m.select("*", *[c.cast("long").alias(n) for n, c in _measures().items()]), "measures")
     with_words = m.where("n_words > 0")
-    limits = common.materialise(thresholds(with_words, bounded), "limits")
+    limits = common.materialise(thresholds(with_words), "limits")
     joined = common.lookup_join(m, limits, ["lang", "source"], F.col("doc_id"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fits = F.lit(True)
@@ -160,8 +163,8 @@ m as (select *, (1000 * n_symbols) // greatest(word_chars, 1) as symbols, (1000
 u as ({" union all ".join(f"select lang, source, '{n}' as measure, {s} as slack, {_BUCKET.format(n)} as bucket from m where n_words > 0" for n, s in MEASURES.items())}),
 l as (select 0 as level, lang, source, measure, slack, bucket from u union all select 1, lang, null, measure, slack, bucket from u union all select 2, null, null, measure, slack, bucket from u),
 q as (select level, lang, source, measure, max(slack) as slack, count(*) as n, quantile_disc(bucket, 0.25) as q25, quantile_disc(bucket, 0.5) as q50, quantile_disc(bucket, 0.75) as q75 from l group by all),
-x as (select level, lang, source, max(n) as n, {", ".join(f"max(case when measure = '{n}' then q50 + greatest({SPREADS} * (q75 - q25), slack) end) as max_{n}" for n in MEASURES)} from q group by all),
-j as (select m.*, {", ".join(f"case when t0.n >= {MIN_DOCS} then t0.max_{n} when t1.n >= {MIN_DOCS} then t1.max_{n} else t2.max_{n} end as max_{n}" for n in MEASURES)},
+x as (select level, lang, source, max(n) as n, {", ".join(f"max(case when measure = '{n}' then q50 + greatest({SPREADS} * least(q75 - q25, 2 * (q50 - q25)), slack) end) as max_{n}, max(case when measure = '{n}' then q25 end) as low_{n}" for n in MEASURES)} from q group by all),
+j as (select m.*, {", ".join(f"(t0.n * least(t0.max_{n}, t0.low_{n} + t1.max_{n} - t1.low_{n}) + {PRIOR_DOCS} * ((t1.n * t1.max_{n} + {PRIOR_DOCS} * t2.max_{n}) // (t1.n + {PRIOR_DOCS}))) // (t0.n + {PRIOR_DOCS}) as max_{n}" for n in MEASURES)},
   n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed
   from m left join x t0 on t0.level = 0 and t0.lang = m.lang and t0.source = m.source left join x t1 on t1.level = 1 and t1.lang = m.lang left join x t2 on t2.level = 2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

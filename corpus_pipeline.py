@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what
 it returns is written as Parquet and read again as the next stage's docs. All but the
 last return the columns of documents. Rows without doc_id can't be told apart: the
-filtering stages keep them.
+filtering stages keep them; rows that repeat a doc_id go or stay together. A document that line
+dedup leaves without a word goes (its lines are all elsewhere); one that had none to begin with failed the
+quality rules. Of equally good documents of a near-duplicate group the smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.quality(docs, bounded=True).where("not kept"))
+    return _without(docs, quality.quality(docs).where("not kept"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup(docs)
+    cleaned = line_dedup.dedup(docs).where("not (__gone > 0 and text rlike '^[ \\\\t-\\\\r]*$')")
     n_chars = F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(*[n_chars.alias(c) if c == "n_chars" else c for c in docs.columns])
 
@@ -57,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Pseudonyms and token ids can't be expressed in SQL; tests hold run() against brute force.
+#: Pseudonyms and token ids can't be expressed in SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
