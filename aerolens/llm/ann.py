@@ -41,7 +41,7 @@ QUERY_EVERY = 20
 SAMPLE = 20_000
 PARTS, CODES = 16, 256
 MAX_LISTS = 4096
-#: Share of the lists that a query probes, and candidates reranked exactly per pair of blocks.
+#: Share of the lists that a query probes, and candidates reranked exactly per pair of blocks (with all whose estimate equals the last one's).
 PROBED = 0.65
 LEAST_PROBED = 16
 RERANK = 48
@@ -168,8 +168,8 @@ def search(rows: DataFrame, is_query, top: int = TOP, probed: float = PROBED, re
         ids, x = have["vec_id"].to_numpy(), np.stack(have["v"].to_numpy())
         codes = np.frombuffer(b"".join(have["codes"]), np.uint8).reshape(len(have), -1)
         found = []
-        for a in range(0, len(want), 128):
-            asking, q = want["query_id"].to_numpy()[a : a + 128], np.stack(want["q"].to_numpy()[a : a + 128])
+        for a in range(0, len(want), 64):
+            asking, q = want["query_id"].to_numpy()[a : a + 64], np.stack(want["q"].to_numpy()[a : a + 64])
             tables = np.stack([index.tables(v) for v in q])
             # the list's centroid adds the same to all of them
             estimate = tables[:, 0, codes[:, 0]]
@@ -178,17 +178,14 @@ def search(rows: DataFrame, is_query, top: int = TOP, probed: float = PROBED, re
             own = ids[None, :] == asking[:, None]
             estimate[own] = -np.inf
             n = min(rerank, len(ids))
-            # all above the n-th estimate, then those equal to it by vec_id: ids are sorted
             edge = np.partition(estimate, len(ids) - n, axis=1)[:, len(ids) - n, None]
-            above, equal = estimate > edge, estimate == edge
-            keep = above | (equal & (np.cumsum(equal, 1) <= n - above.sum(1, keepdims=True)))
-            best = np.nonzero(keep)[1].reshape(len(q), n)
-            exact = (x[best] * q[:, None, :]).sum(2)
-            exact[np.take_along_axis(own, best, 1)] = -np.inf
-            order = np.lexsort((ids[best], -exact), axis=1)[:, :top]
-            exact = np.take_along_axis(exact, order, 1)
-            good = np.isfinite(exact)
-            found.append(pd.DataFrame({"query_id": np.broadcast_to(asking[:, None], good.shape)[good], "vec_id": ids[np.take_along_axis(best, order, 1)][good], "score": exact[good]}))
+            row, best = np.nonzero((estimate >= edge) & ~own)
+            exact = np.concatenate([(x[best[k : k + 8192]] * q[row[k : k + 8192]]).sum(1) for k in range(0, len(row), 8192)]) if len(row) else np.empty(0)
+            order = np.lexsort((ids[best], -exact, row))
+            row, best, exact = row[order], best[order], exact[order]
+            first = np.searchsorted(row, row, "left")
+            kept = (np.arange(len(row)) - first < top) & np.isfinite(exact)
+            found.append(pd.DataFrame({"query_id": asking[row[kept]], "vec_id": ids[best[kept]], "score": exact[kept]}))
         return pd.concat(found)
 
     scored = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(score, "query_id long, vec_id long, score double")

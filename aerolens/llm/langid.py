@@ -3,7 +3,8 @@
 Bytes are embedded; filters of several widths run over them; each filter's largest
 answer in a window (max pooling) feeds a softmax over the languages. Training (Adam on
 cross-entropy) uses windows of a bounded sample of labelled texts, at most SAMPLE_DOCS rows
-in expectation, picked by a hash over all of the table's rows. Prediction covers whole
+in expectation, as many of each language, picked by a hash over all of the table's rows. Every label
+of the sample is learned. Prediction covers whole
 texts: they are cut into windows of WINDOW bytes, run in batches, and the windows' class
 probabilities are averaged by their bytes.
 
@@ -33,10 +34,9 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBEDDING = 12
 FILTERS = 16
-#: Bound of the training sample: documents over all languages, windows of each, languages.
+#: Bound of the training sample: documents over all languages, windows of each.
 SAMPLE_DOCS = 4_000
 SAMPLE_WINDOWS = 6
-LANGUAGES = 200
 STEPS = 700
 BATCH = 128
 RATE = 4e-3
@@ -136,32 +136,34 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[ByteNet | None, list[str]]:
     """The network and its languages, from the rows that aren't held out."""
     able = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = common.materialise(able.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    found = counts.count()
+    if not found:
         return None, []
-    languages = sorted(counts)
-    each = max(1, sample_docs // len(languages))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, each / counts[lang]))])
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(max(1, sample_docs // found)) / F.col("n")).alias("share"))
     # a document's place in [0, 1) is its hash: the same sample each time
     place = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = able.where(place < share[F.col("lang")]).select(F.col("doc_id").cast("long"), "lang", "text")
+    drawn = common.lookup_join(able.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), shares, ["lang"], F.col("doc_id"), "inner")
+    sample = drawn.where(place < F.col("share")).select("doc_id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, langs, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [])
+            docs_, langs, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [], [], [])
             for i, text in enumerate(batch.column(2)):
                 w = windows_of(text.as_py())
                 pick = np.random.default_rng(docs_[i] & 0xFFFFFFFF).permutation(len(w))[:SAMPLE_WINDOWS]
-                found[0].extend([langs[i]] * len(pick))
-                found[1].extend(w[k].tobytes() for k in pick)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.binary())], ["lang", "window"])
+                for column, values in zip(found, ([langs[i]] * len(pick), (w[k].tobytes() for k in pick), [docs_[i]] * len(pick), pick.tolist())):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.string(), pa.binary(), pa.int64(), pa.int64()))], ["lang", "window", "doc_id", "k"])
 
-    # repeated rows of one doc_id could exceed the expectation: the limit is the hard bound
-    rows = sample.mapInArrow(cut, "lang string, window binary").limit(2 * sample_docs * SAMPLE_WINDOWS).toArrow()
+    # repeated rows of one doc_id, or more labels than documents, could exceed the expectation: a hard bound, by hash
+    cut_ = sample.mapInArrow(cut, "lang string, window binary, doc_id long, k long")
+    rows = cut_.orderBy(F.xxhash64(F.lit(9), "doc_id", "k"), "doc_id", "k", "lang").limit(2 * sample_docs * SAMPLE_WINDOWS).select("lang", "window").toArrow()
     if not rows.num_rows:
         return None, []
     order = np.random.default_rng(8).permutation(rows.num_rows)
     x = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)[order]
+    languages = sorted(set(rows.column("lang").to_pylist()))
     at = {lang: i for i, lang in enumerate(languages)}
     y = np.array([at[lang] for lang in rows.column("lang").to_pylist()])[order]
     return ByteNet(len(languages)).fit(x, y), languages
