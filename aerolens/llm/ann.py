@@ -7,10 +7,13 @@ lists of its best centroids; each list's vectors are scored by table look-ups (a
 distance: query part x codeword, plus query x centroid), and the best are
 reranked exactly, in double precision, on the original vectors.
 
-Every vector is indexed. Lists are cut into blocks of bounded size, and the queries that
-probe a list into blocks too, so neither a large list nor one that very many queries want is one
+Every vector is indexed. Small lists that follow each other share a block, so that a query
+is copied once for all of them; a large list is cut into blocks by hash, and the queries that
+probe a block into blocks too, so neither a large list nor one that very many queries want is one
 task's. Each pair of blocks answers with its exactly scored best; a query's final best
-come from those few rows.
+come from those few rows. Vectors travel in the type they are given in, once for every BLOCK_QUERIES
+queries that want their block; both that and the scoring grow with queries times vectors
+while PROBED is a share of the lists.
 
 If a query's probed lists hold fewer than `top` vectors although the table has more, all
 lists are probed for it.
@@ -24,14 +27,14 @@ candidates of equal codes; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import FloatType
 
 from . import common
 
@@ -41,11 +44,14 @@ QUERY_EVERY = 20
 SAMPLE = 20_000
 PARTS, CODES = 16, 256
 MAX_LISTS = 4096
-#: Share of the lists that a query probes, and candidates reranked exactly per pair of blocks (with all whose estimate equals the last one's).
+#: Share of the lists that a query probes.
 PROBED = 0.65
-LEAST_PROBED = 16
-RERANK = 48
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+LEAST_PROBED = 32
+#: Distinct codes first reranked exactly per pair of blocks (with all whose estimate equals the last one's), and how far the second look goes.
+RERANK, SLACK = 96, 2.5
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+#: Rows reranked, and queries expanded into their groups, at a time.
+RERANK_ROWS, ASKED = 8_192, 64
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -78,12 +84,14 @@ class Index:
         c = self.centroids
         return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and the lengths of what the codes leave out."""
         x = x.astype(np.float32)
         lists = self.nearest(x)
         residual = x - self.centroids[lists]
         codes = np.stack([((b * b).sum(1) - 2 * residual[:, c] @ b.T).argmin(1) for c, b in zip(self.cuts, self.books)], 1)
-        return lists, codes.astype(np.uint8)
+        left = sum(((residual[:, c] - b[codes[:, i]]) ** 2).sum(1) for i, (c, b) in enumerate(zip(self.cuts, self.books)))
+        return lists, codes.astype(np.uint8), np.sqrt(left)
 
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(q.astype(np.float32) @ self.centroids.T), 1, kind="stable")[:, :n]
@@ -97,8 +105,9 @@ class Index:
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that take part."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    """vec_id, v (array<float> where the input's is, else array<double>) of the vectors that take part."""
+    kind = "float" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "double"
+    v = F.transform(F.col("embedding"), lambda x: x.cast(kind))
     rows = rows.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(sound, F.lit(False))).groupBy("vec_id").agg(F.max("v").alias("v"))
@@ -119,6 +128,74 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> Index:
     return Index(x, min(MAX_LISTS, max(1, round(math.sqrt(n) / 2))))
 
 
+def grouped(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's group, and each group's number of parts: small neighbours share a group of one part, a large list is cut."""
+    group, parts, filled = np.zeros(len(sizes), np.int64), [], BLOCK_ROWS
+    for k, n in enumerate(sizes.tolist()):
+        if filled + n > BLOCK_ROWS:
+            parts.append(max(1, math.ceil(n / BLOCK_ROWS)))
+            filled = 0
+        filled += n
+        group[k] = len(parts) - 1
+    return group, np.array(parts, np.int64)
+
+
+def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct one, and each row's class."""
+    x = np.ascontiguousarray(x)
+    _, first, own = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, own
+
+
+def best_of(index: Index, have: tuple, want: Iterable[tuple], top: int, rerank: int) -> list[tuple[np.ndarray, ...]]:
+    """(query ids, vector ids, scores) of each query's exactly scored best of a block's rows, nearest first.
+
+    Estimates are made and counted by distinct code, so copies don't take the reranked places from
+    others; of equal vectors only the top + 1 smallest ids can be among any query's best.
+    The best `rerank` codes set a bar, the exact score of the top-th of them. Every code whose estimate
+    comes within SLACK standard errors of it is then reranked too, however many there are. An estimate's error is
+    the query times what the code leaves out: over all directions its deviation is |q| |left out| / sqrt(dimensions).
+    """
+    ids, x, codes, own, left = have
+    _, same = _classes(x)
+    order = np.lexsort((ids, same))
+    same = same[order]
+    order = order[np.arange(len(order)) - np.searchsorted(same, same) <= top]
+    ids, x, codes, own, left = ids[order], x[order], codes[order], own[order], left[order]
+    first, code = _classes(np.concatenate([own.astype("<i4").view(np.uint8).reshape(-1, 4), codes], 1))
+    own, most = own[first], np.zeros(len(first))
+    np.maximum.at(most, code, left)
+    most *= SLACK / math.sqrt(x.shape[1])
+    flat = np.ascontiguousarray((codes[first].astype(np.intp) + CODES * np.arange(codes.shape[1])).T)
+
+    def scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x[part].astype(np.float64) * q).sum(1) for part in np.array_split(rows, len(rows) // RERANK_ROWS + 1)])
+
+    found = []
+    for query, q, asked in want:
+        in_asked = np.zeros(len(index.centroids), bool)
+        in_asked[asked] = True
+        at = np.flatnonzero(in_asked[own])
+        if not len(at):
+            continue
+        estimate = index.tables(q).ravel().take(flat[:, at]).sum(0) + (index.centroids @ q.astype(np.float32))[own[at]]
+        chosen = np.zeros(len(own), bool)
+        # all whose estimate equals the last one's are reranked with it
+        chosen[at[estimate >= np.partition(estimate, len(at) - rerank)[len(at) - rerank]] if len(at) > rerank else at] = True
+        rows = np.flatnonzero(chosen[code] & (ids != query))
+        exact = scores(rows, q)
+        if len(at) > rerank and len(rows) >= top:
+            bar = np.partition(exact, len(exact) - top)[len(exact) - top]
+            near = np.zeros(len(own), bool)
+            near[at[estimate + np.linalg.norm(q) * most[at] >= bar]] = True
+            more = np.flatnonzero((near & ~chosen)[code] & (ids != query))
+            rows, exact = np.concatenate([rows, more]), np.concatenate([exact, scores(more, q)])
+        best = np.lexsort((ids[rows], -exact))[:top]
+        best = best[np.isfinite(exact[best])]
+        found.append((np.full(len(best), query), ids[rows[best]], exact[best]))
+    return found
+
+
 def search(rows: DataFrame, is_query, top: int = TOP, probed: float = PROBED, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's nearest other rows by inner product."""
     vectors = valid_vectors(rows)
@@ -129,66 +206,64 @@ def search(rows: DataFrame, is_query, top: int = TOP, probed: float = PROBED, re
     index = fit(vectors, n)
     lists = len(index.centroids)
     probes = min(lists, max(LEAST_PROBED, math.ceil(lists * probed)))
+    kind = vectors.schema["v"].dataType.simpleString()
+    arrow_kind = pa.list_(pa.float32() if "float" in kind else pa.float64())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), len(batch.column(1)[0]))
-            own, codes = index.encode(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
+            own, codes, error = index.encode(_matrix(batch.column(1), len(batch.column(1)[0])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float32())], ["vec_id", "v", "list", "codes", "error"])
+
+    indexed = common.materialise(vectors.mapInArrow(place, f"vec_id long, v {kind}, list int, codes binary, error float"), "indexed")
+    # what is collected, here and below, has a row per list or group: MAX_LISTS at most
+    sizes = np.zeros(lists, np.int64)
+    for r in indexed.groupBy("list").count().collect():
+        sizes[r[0]] = r[1]
+    group, parts = grouped(sizes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), len(batch.column(1)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(index.probes(x, lists).astype(np.int32)), pa.list_(pa.int32()))], ["query_id", "q", "order"])
-
-    indexed = common.materialise(vectors.mapInArrow(place, "vec_id long, v array<double>, list int, codes binary"), "indexed")
-    # one row per list: bounded by MAX_LISTS
-    sizes = {r[0]: r[1] for r in indexed.groupBy("list").count().collect()}
-    counts = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    queries = vectors.where(is_query(F.col("vec_id"))).mapInArrow(ask, "query_id long, q array<double>, order array<int>")
-    held = F.aggregate(F.slice("order", 1, probes), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(counts[x], F.lit(0).cast("long")))
-    queries = queries.select("query_id", "q", F.explode(F.when(held <= top, F.col("order")).otherwise(F.slice("order", 1, probes))).alias("list"))
+        """A row for each query and group that holds lists which it probes."""
+        for whole in batches:
+            for a in range(0, whole.num_rows, ASKED):
+                batch = whole.slice(a, ASKED)
+                x = _matrix(batch.column(1), len(batch.column(1)[0]))
+                found = ([], [], [], [])
+                for query, vector, order in zip(batch.column(0).to_pylist(), x, index.probes(x, lists)):
+                    chosen = order if sizes[order[:probes]].sum() <= top else order[:probes]
+                    chosen = np.sort(chosen[sizes[chosen] > 0])
+                    for g in np.unique(group[chosen]).tolist():
+                        for column, value in zip(found, (query, vector, g, chosen[group[chosen] == g].astype("<i4").tobytes())):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), arrow_kind, pa.int32(), pa.binary()))], ["query_id", "q", "group", "lists"])
+
+    queries = vectors.where(is_query(F.col("vec_id"))).mapInArrow(ask, f"query_id long, q {kind}, group int, lists binary")
     asked = common.materialise(queries, "queries")
-    wanted = {r[0]: r[1] for r in asked.groupBy("list").count().collect()}
-    blocks = lambda counts, size: F.create_map(*[F.lit(x) for k in range(lists) for x in (k, max(1, math.ceil(counts.get(k, 0) / size)))])[F.col("list")]
-    vector_blocks, query_blocks = blocks(sizes, BLOCK_ROWS), blocks(wanted, BLOCK_QUERIES)
+    wanted = np.zeros(len(parts), np.int64)
+    for r in asked.groupBy("group").count().collect():
+        wanted[r[0]] = r[1]
+    at = lambda values, place: F.get(F.expr(f"array({','.join(map(str, values.tolist()))})"), F.col(place))
+    vector_blocks, query_blocks = at(parts, "group"), at(-(-wanted // BLOCK_QUERIES), "group")
     own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
-    left = indexed.select("list", own("vec_id", vector_blocks).alias("i"), every(query_blocks), "vec_id", "v", "codes").withColumnRenamed("other", "j")
-    right = asked.select("list", own("query_id", query_blocks).alias("j"), every(vector_blocks), "query_id", "q").withColumnRenamed("other", "i")
-
-    def score(key: tuple, have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if have.empty or want.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        have = have.sort_values("vec_id", ignore_index=True)
-        ids, x = have["vec_id"].to_numpy(), np.stack(have["v"].to_numpy())
-        codes = np.frombuffer(b"".join(have["codes"]), np.uint8).reshape(len(have), -1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = indexed.select("*", at(group, "list").alias("group")).where(query_blocks > 0)
+    left = left.select("group", own("vec_id", vector_blocks).alias("i"), every(query_blocks).alias("j"), "vec_id", "v", "list", "codes", "error")
+    right = asked.select("group", own("query_id", query_blocks).alias("j"), every(vector_blocks).alias("i"), "query_id", "q", "lists")
+
+    def score(key: tuple, have: pa.Table, want: pa.Table) -> pa.Table:
         found = []
-        for a in range(0, len(want), 64):
-            asking, q = want["query_id"].to_numpy()[a : a + 64], np.stack(want["q"].to_numpy()[a : a + 64])
-            tables = np.stack([index.tables(v) for v in q])
-            # the list's centroid adds the same to all of them
-            estimate = tables[:, 0, codes[:, 0]]
-            for p in range(1, codes.shape[1]):
-                estimate += tables[:, p, codes[:, p]]
-            own = ids[None, :] == asking[:, None]
-            estimate[own] = -np.inf
-            n = min(rerank, len(ids))
-            edge = np.partition(estimate, len(ids) - n, axis=1)[:, len(ids) - n, None]
-            row, best = np.nonzero((estimate >= edge) & ~own)
-            exact = np.concatenate([(x[best[k : k + 8192]] * q[row[k : k + 8192]]).sum(1) for k in range(0, len(row), 8192)]) if len(row) else np.empty(0)
-            order = np.lexsort((ids[best], -exact, row))
-            row, best, exact = row[order], best[order], exact[order]
-            first = np.searchsorted(row, row, "left")
-            kept = (np.arange(len(row)) - first < top) & np.isfinite(exact)
-            found.append(pd.DataFrame({"query_id": asking[row[kept]], "vec_id": ids[best[kept]], "score": exact[kept]}))
-        return pd.concat(found)
-
-    scored = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(score, "query_id long, vec_id long, score double")
+        if have.num_rows and want.num_rows:
+            dims = len(have.column("v")[0])
+            column = lambda t, c: t.column(c).combine_chunks()
+            codes = np.frombuffer(b"".join(have.column("codes").to_pylist()), np.uint8).reshape(have.num_rows, -1)
+            block = (have.column("vec_id").to_numpy(), _matrix(column(have, "v"), dims), codes, have.column("list").to_numpy(), have.column("error").to_numpy())
+            asking = zip(want.column("query_id").to_pylist(), _matrix(column(want, "q"), dims).astype(np.float64), (np.frombuffer(b, "<i4") for b in want.column("lists").to_pylist()))
+            found = best_of(index, block, asking, top, rerank)
+        types = (np.int64, np.int64, np.float64)
+        return pa.table([pa.array(np.concatenate([np.empty(0, t), *(f[k] for f in found)]).astype(t)) for k, t in enumerate(types)], ["query_id", "vec_id", "score"])
+
+    scored = left.groupBy("group", "i", "j").cogroup(right.groupBy("group", "i", "j")).applyInArrow(score, "query_id long, vec_id long, score double")
     # a query has at most top rows from each pair of blocks it is in
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
