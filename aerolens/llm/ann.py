@@ -130,7 +130,7 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> Index:
 
 def grouped(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each list's group, and each group's number of parts: small neighbours share a group of one part, a large list is cut."""
-    group, parts, filled = np.zeros(len(sizes), np.int64), [], BLOCK_ROWS
+    group, parts, filled = np.zeros(len(sizes), np.int64), [], BLOCK_ROWS + 1
     for k, n in enumerate(sizes.tolist()):
         if filled + n > BLOCK_ROWS:
             parts.append(max(1, math.ceil(n / BLOCK_ROWS)))
