@@ -40,8 +40,8 @@ GROUP_ROWS = 16_384
 VOCABULARY = "byte_bpe_50k.json"
 #: Bounds on what an encoder remembers (units, in each of two generations), on the characters
 #: handled at a time, units whose ids are taken at a time, and units encoded as one string.
-CACHE_UNITS = 900_000
-SLICE_CHARS = 12_000_000
+CACHE_UNITS = 400_000
+SLICE_CHARS = 4_000_000
 TAKEN = 400_000
 JOINED = 100
 #: White space but blanks and line feeds, and those where pre-tokens may reach over a cut.
